@@ -11,40 +11,40 @@ from casebook.session import materialise
 ROWS_PER_SALT = 1_000_000
 
 
-def hot_keys(rows: DataFrame, key: str, rows_per_salt: int) -> DataFrame:
+def hot_keys(rows: DataFrame, keys: list[str], rows_per_salt: int) -> DataFrame:
     """Keys holding more than ``rows_per_salt`` rows, with the number of parts to split into."""
     return (
-        rows.groupBy(key)
+        rows.groupBy(*keys)
         .count()
         .where(F.col("count") > rows_per_salt)
-        .select(F.col(key).alias("_hot"), F.ceil(F.col("count") / rows_per_salt).cast("int").alias("_parts"))
+        .select(*keys, F.ceil(F.col("count") / rows_per_salt).cast("int").alias("_parts"))
     )
 
 
 def salted_join(
     big: DataFrame,
     small: DataFrame,
-    key: str,
+    keys: list[str],
     spread_by: str,
     rows_per_salt: int = ROWS_PER_SALT,
 ) -> DataFrame:
-    """Inner equi-join on ``key``; hot keys of ``big`` are split by a hash of ``spread_by``.
+    """Inner equi-join on ``keys``; hot keys of ``big`` are split by a hash of ``spread_by``.
 
     The rows of ``small`` are repeated once per part of their key only, so ordinary keys pay nothing.
     """
-    hot = F.broadcast(hot_keys(big, key, rows_per_salt))
+    hot = F.broadcast(hot_keys(big, keys, rows_per_salt))
     parts = F.coalesce(F.col("_parts"), F.lit(1))
     left = (
-        big.join(hot, big[key] == hot["_hot"], "left")
+        big.join(hot, keys, "left")
         .withColumn("_salt", F.when(parts == 1, 0).otherwise(F.pmod(F.xxhash64(spread_by), parts).cast("int")))
-        .drop("_hot", "_parts")
+        .drop("_parts")
     )
     right = (
-        small.join(hot, small[key] == hot["_hot"], "left")
+        small.join(hot, keys, "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .drop("_hot", "_parts")
+        .drop("_parts")
     )
-    return left.join(right, [key, "_salt"]).drop("_salt")
+    return left.join(right, [*keys, "_salt"]).drop("_salt")
 
 
 def top_per_key(rows: DataFrame, keys: list[str], order: list[Column], k: int, name: str) -> DataFrame:
