@@ -203,17 +203,6 @@ def gate(inquiries: DataFrame) -> DataFrame:
     return annotate(accepted).withColumn("safety_triggered", safety_triggered(F.col("query_text")))
 
 
-def evidence_by_route(
-    targets: DataFrame, records: DataFrame, passages: DataFrame, rows_per_salt: int = ROWS_PER_SALT
-) -> vd.Evidence:
-    """Evidence of routable inquiries, each route on its own rows."""
-    mode = F.col("routing_mode")
-    structured = vd.structured_evidence(targets.where(mode == "STRUCTURED_ONLY"), records, rows_per_salt)
-    documents = vd.passage_evidence(targets.where(mode == "DOCUMENT_ONLY"), passages)
-    both = vd.fused_evidence(targets.where(mode == "CROSS_DOMAIN"), records, passages, rows_per_salt)
-    return structured.union(documents).union(both)
-
-
 def answer_inquiries(inquiries: DataFrame, tables, top_k: int | None = None,
                      rows_per_salt: int = ROWS_PER_SALT) -> InquiryJob:
     """Safety, understanding, retrieval, evidence, answer and citations for a table of inquiries.
@@ -232,7 +221,7 @@ def answer_inquiries(inquiries: DataFrame, tables, top_k: int | None = None,
     )
     lean = routable.drop("query_vec")
     records = health_records(tables)
-    found = evidence_by_route(lean, records, passages, rows_per_salt)
+    found = vd.evaluate(lean, records, passages, rows_per_salt)
     verdicts = materialise(found.verdicts)
     useful = verdicts.where("status <> 'INSUFFICIENT'").select(*K)
     evidence = vd.Evidence(
