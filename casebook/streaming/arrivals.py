@@ -1,8 +1,8 @@
 """Document arrivals and embedding backfill as Structured Streaming jobs.
 
-Derived tables are kept as one folder per committed version. A micro-batch reads the last version,
-replaces what its documents changed and writes its own version, so replaying a batch after a lost
-driver rewrites the same folder with the same rows.
+Derived rows are kept as one delta folder per micro-batch, holding only the documents of that batch, so
+a batch costs what arrived and not what is stored. Replaying a batch after a lost driver rewrites the
+same folder. Readers take each document's rows from its latest delta.
 """
 
 from __future__ import annotations
@@ -28,15 +28,25 @@ CHUNK_SCHEMA = (
 )
 
 
-def _version(folder: str, table: str, number: int) -> str:
+def _delta(folder: str, table: str, number: int) -> str:
     return f"{folder}/{table}/v={number}"
 
 
-def _load(spark: SparkSession, folder: str, table: str, number: int, schema: str) -> DataFrame:
-    """Version ``number`` of a derived table; before the first batch it is empty."""
-    if number < 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(_version(folder, table, number))
+def _deltas(spark: SparkSession, folder: str, table: str, schema: str) -> DataFrame:
+    return spark.read.schema(f"{schema}, v BIGINT").parquet(f"{folder}/{table}")
+
+
+def current_extractions(spark: SparkSession, folder: str) -> DataFrame:
+    """One extraction per document, from its latest delta."""
+    rows = _deltas(spark, folder, "extractions", EXTRACTION_SCHEMA)
+    latest = rows.groupBy("document_id").agg(F.max_by(F.struct(*rows.columns), "v").alias("r"))
+    return latest.select("r.*")
+
+
+def current_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks of each document's latest delta; a document that lost its text has none."""
+    latest = current_extractions(spark, folder).select("document_id", "patient_id", "v")
+    return _deltas(spark, folder, "chunks", CHUNK_SCHEMA).join(latest, ["document_id", "patient_id", "v"]).drop("v")
 
 
 def extract_arrivals(arrivals: DataFrame) -> DataFrame:
@@ -63,19 +73,13 @@ def ingest_stream(
     """Extract, chunk and embed arriving originals; every stage replaces by document."""
 
     def process(batch: DataFrame, number: int) -> None:
-        fresh = extract_arrivals(batch)
-        extractions = ig.replace_extractions(
-            _load(spark, out_folder, "extractions", number - 1, EXTRACTION_SCHEMA), fresh.select(*_names(EXTRACTION_SCHEMA))
-        )
-        extractions.write.mode("overwrite").parquet(_version(out_folder, "extractions", number))
-        stored = _load(spark, out_folder, "extractions", number, EXTRACTION_SCHEMA)
-        arrived = batch.select("document_id", "patient_id").distinct()
-        cut = with_chunk_id(ig.chunk_documents(stored.join(arrived, ["document_id", "patient_id"], "left_semi")))
-        cut = cut.withColumn("embedding", F.lit(None).cast("array<float>"))
-        replaced = ig.replace_chunks(_load(spark, out_folder, "chunks", number - 1, CHUNK_SCHEMA), arrived, cut)
-        vectors = ig.embed(ig.pending_chunks(replaced), embedder, dimension)
-        done = ig.compare_and_set(replaced, vectors).select(*_names(CHUNK_SCHEMA))
-        done.write.mode("overwrite").parquet(_version(out_folder, "chunks", number))
+        place = _delta(out_folder, "extractions", number)
+        extract_arrivals(batch).select(*_names(EXTRACTION_SCHEMA)).write.mode("overwrite").parquet(place)
+        stored = spark.read.schema(EXTRACTION_SCHEMA).parquet(place)
+        cut = with_chunk_id(ig.chunk_documents(stored)).withColumn("embedding", F.lit(None).cast("array<float>"))
+        vectors = ig.embed(ig.pending_chunks(cut), embedder, dimension)
+        done = ig.compare_and_set(cut, vectors).select(*_names(CHUNK_SCHEMA))
+        done.write.mode("overwrite").parquet(_delta(out_folder, "chunks", number))
 
     return (
         spark.readStream.schema(ARRIVAL_SCHEMA)
@@ -99,7 +103,7 @@ def backfill_stream(
 
     def process(batch: DataFrame, number: int) -> None:
         vectors = ig.embed(ig.pending_chunks(batch), embedder, dimension)
-        vectors.write.mode("overwrite").parquet(_version(out_folder, "vectors", number))
+        vectors.write.mode("overwrite").parquet(_delta(out_folder, "vectors", number))
 
     return (
         spark.readStream.schema(CHUNK_SCHEMA)
