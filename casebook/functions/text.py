@@ -90,11 +90,16 @@ def event_uuid(source_type: Column, source_id: Column, event_type: Column) -> Co
     )
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body refers to it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def unit_vector(vector: Column) -> Column:
     """Vector scaled to length one, in doubles; a zero vector gives nulls."""
     wide = F.transform(vector, lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(wide, lambda x: F.try_divide(x, norm))
+    return let(norm, lambda n: F.transform(wide, lambda x: F.try_divide(x, n)))
 
 
 def dot(left: Column, right: Column) -> Column:

@@ -234,12 +234,16 @@ def seeded_embedder(dimension: int = 768) -> Callable[[list[str]], list[list[flo
 
 def hashed_vector(text: Column, dimension: int) -> Column:
     """Reproducible unit vector from hashes alone, all inside the JVM."""
-    cleaned = F.lower(tx.collapse(text))
-    raw = F.transform(
-        F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.xxhash64(cleaned, i).cast("double") / F.lit(2.0**63)
-    )
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(raw, lambda x: F.round(x / norm, 6).cast("float"))
+    places = F.sequence(F.lit(0), F.lit(dimension - 1))
+
+    def draw(cleaned: Column) -> Column:
+        return F.transform(places, lambda i: F.xxhash64(cleaned, i).cast("double") / F.lit(2.0**63))
+
+    def scale(raw: Column) -> Column:
+        norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + x * x))
+        return tx.let(norm, lambda n: F.transform(raw, lambda x: F.round(x / n, 6).cast("float")))
+
+    return tx.let(F.lower(tx.collapse(text)), lambda cleaned: tx.let(draw(cleaned), scale))
 
 
 def embed(
