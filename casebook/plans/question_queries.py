@@ -342,7 +342,7 @@ ORACLE_PATTERNS = {
         r"\b(prescribing (?:doctor|physician)|attending (?:physician|doctor)|prescribed by|ordered by|signed by|"
         r"physician|provider|prescriber)\s*:\s*(?:dr\.?\s+|doctor\s+)?[a-z]+(?:\s+[a-z]+){0,2}\b",
         r"\b(?:dr\.?|doctor)\s+[a-z]+(?:\s+[a-z]+){0,2}\b",
-        r"\b[a-z]+(?:\s+[a-z]+){1,2},\s*(?:m\.?d|d\.?o|n\.?p|p\.?a\.?-c)($|[^\p{L}\p{N}_])",
+        r"(^|[^\p{L}\p{N}_])[a-z]+(?:\s+[a-z]+){1,2},\s*(?:m\.?d|d\.?o|n\.?p|p\.?a\.?-c)($|[^\p{L}\p{N}_])",
     ),
     "clinic": (
         r"\b(clinic|facility|hospital|location|practice)\s*:\s*[a-z0-9]+(?:\s+[a-z0-9]+){0,4}\b",
