@@ -11,14 +11,9 @@ from casebook.session import materialise
 ROWS_PER_SALT = 1_000_000
 
 
-def hot_keys(rows: DataFrame, keys: list[str], rows_per_salt: int) -> DataFrame:
-    """Keys holding more than ``rows_per_salt`` rows, with the number of parts to split into."""
-    return (
-        rows.groupBy(*keys)
-        .count()
-        .where(F.col("count") > rows_per_salt)
-        .select(*keys, F.ceil(F.col("count") / rows_per_salt).cast("int").alias("_parts"))
-    )
+def key_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows per key; only the key columns are read."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"))
 
 
 def salted_join(
@@ -26,13 +21,19 @@ def salted_join(
     small: DataFrame,
     keys: list[str],
     spread_by: str,
+    counts: DataFrame,
     rows_per_salt: int = ROWS_PER_SALT,
 ) -> DataFrame:
     """Inner equi-join on ``keys``; hot keys of ``big`` are split by a hash of ``spread_by``.
 
-    The rows of ``small`` are repeated once per part of their key only, so ordinary keys pay nothing.
+    ``counts`` (keys, n) bounds the rows of ``big`` per key. The rows of ``small`` are repeated once per
+    part of their key only, so ordinary keys pay nothing.
     """
-    hot = F.broadcast(hot_keys(big, keys, rows_per_salt))
+    hot = F.broadcast(
+        counts.where(F.col("n") > rows_per_salt).select(
+            *keys, F.ceil(F.col("n") / rows_per_salt).cast("int").alias("_parts")
+        )
+    )
     parts = F.coalesce(F.col("_parts"), F.lit(1))
     left = (
         big.join(hot, keys, "left")

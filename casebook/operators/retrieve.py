@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from casebook.functions import lexicons as lx
 from casebook.functions import text as tx
-from casebook.functions.skew import ROWS_PER_SALT, salted_join, top_per_key
+from casebook.functions.skew import ROWS_PER_SALT, key_counts, salted_join, top_per_key
+from casebook.session import materialise
 
 K = ["query_id", "patient_id"]
 PASSAGE_COLUMNS = (
@@ -62,7 +63,7 @@ def searchable_chunks(chunks: DataFrame, documents: DataFrame, extractions: Data
     )
 
 
-def _asked(targets: DataFrame) -> DataFrame:
+def document_questions(targets: DataFrame) -> DataFrame:
     """Target columns retrieval needs, for inquiries that reach documents."""
     bounded = F.col("temporal_scope") == "interval"
     return (
@@ -122,7 +123,12 @@ def _date_gate() -> Column:
 
 
 def dense_candidates(
-    asked: DataFrame, searchable: DataFrame, extrema: DataFrame, top_k: int, rows_per_salt: int
+    asked: DataFrame,
+    searchable: DataFrame,
+    extrema: DataFrame,
+    counts: DataFrame,
+    top_k: int,
+    rows_per_salt: int = ROWS_PER_SALT,
 ) -> DataFrame:
     """Exact nearest chunks: the top k per inquiry (ten when an entity anchors it)."""
     vectors = searchable.where("retrievable").select(
@@ -130,7 +136,9 @@ def dense_candidates(
         tx.unit_vector(F.col("embedding")).alias("unit"),
     )
     questions = asked.join(extrema, K, "left").withColumn("unit_query", tx.unit_vector(F.col("query_vec")))
-    pairs = salted_join(vectors, questions.drop("query_vec"), ["patient_id"], "chunk_id", rows_per_salt)
+    pairs = salted_join(
+        vectors, questions.drop("query_vec"), ["patient_id"], "chunk_id", counts, rows_per_salt
+    )
     scored = (
         pairs.where(F.array_contains("types", F.col("document_type")) & _date_gate())
         .withColumn("cosine_distance", 1.0 - tx.dot(F.col("unit"), F.col("unit_query")))
@@ -157,7 +165,9 @@ def lexical_match(entity: Column, text: Column) -> Column:
     return F.exists(lexical_variants(entity), lambda v: tx.keyword_present(v, low))
 
 
-def lexical_candidates(asked: DataFrame, searchable: DataFrame, rows_per_salt: int) -> DataFrame:
+def lexical_candidates(
+    asked: DataFrame, searchable: DataFrame, counts: DataFrame, rows_per_salt: int = ROWS_PER_SALT
+) -> DataFrame:
     """Chunks naming the entity, newest first (oldest for FIRST), ten per inquiry.
 
     Texts are matched once per tenant and distinct entity, not once per inquiry.
@@ -165,7 +175,7 @@ def lexical_candidates(asked: DataFrame, searchable: DataFrame, rows_per_salt: i
     anchored = asked.where(F.col("entity").isNotNull()).drop("query_vec")
     terms = anchored.select("patient_id", "entity").distinct()
     hits = (
-        salted_join(searchable.drop("embedding"), terms, ["patient_id"], "chunk_id", rows_per_salt)
+        salted_join(searchable.drop("embedding"), terms, ["patient_id"], "chunk_id", counts, rows_per_salt)
         .where(lexical_match(F.col("entity"), F.col("chunk_text")))
         .drop("chunk_text")
     )
@@ -237,11 +247,13 @@ def retrieve(
 ) -> DataFrame:
     """Ordered candidate passages of every inquiry that targets documents."""
     limit = check_top_k(top_k)
-    asked = _asked(targets)
+    # The questions feed five branches; they are few columns per inquiry and written once.
+    asked = materialise(document_questions(targets))
+    counts = key_counts(chunks, ["patient_id"])
     searchable = searchable_chunks(chunks, documents, extractions)
     extrema = extremum_dates(asked, documents)
-    dense = dense_candidates(asked, searchable, extrema, limit, rows_per_salt)
-    lexical = lexical_candidates(asked, searchable, rows_per_salt)
+    dense = dense_candidates(asked, searchable, extrema, counts, limit, rows_per_salt)
+    lexical = lexical_candidates(asked, searchable, counts, rows_per_salt)
     found = unite(asked, dense, lexical)
     # Texts join last: only the few retained candidates carry them.
     texts = chunks.select(

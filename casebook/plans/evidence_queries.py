@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from casebook.functions import lexicons as lx
 from casebook.functions import text as tx
+from casebook.functions.skew import key_counts
 from casebook.operators import answer as an
 from casebook.operators import context as cx
 from casebook.operators import evidence as ev
@@ -138,10 +139,11 @@ def retrieved_passages(t):
     over_views("SELECT query_id, chunk_id, rank, round(dist, 6) + 0.0 AS cosine_distance FROM dense", ROUTED_SQL, RETRIEVAL_SQL),
 )
 def dense_neighbours(t):
-    asked = rt._asked(_targets(t))
+    asked = materialise(rt.document_questions(_targets(t)))
+    counts = key_counts(t.document_chunks, ["patient_id"])
     searchable = rt.searchable_chunks(t.document_chunks, t.medical_documents, t.document_extractions)
     extrema = rt.extremum_dates(asked, t.medical_documents)
-    return rt.dense_candidates(asked, searchable, extrema, lx.DEFAULT_TOP_K, rt.ROWS_PER_SALT).select(
+    return rt.dense_candidates(asked, searchable, extrema, counts, lx.DEFAULT_TOP_K).select(
         "query_id", "chunk_id", "rank", (F.round("cosine_distance", 6) + 0.0).alias("cosine_distance")
     )
 
@@ -152,7 +154,9 @@ def dense_neighbours(t):
 )
 def lexical_neighbours(t):
     searchable = rt.searchable_chunks(t.document_chunks, t.medical_documents, t.document_extractions)
-    return rt.lexical_candidates(rt._asked(_targets(t)), searchable, rt.ROWS_PER_SALT).select("query_id", "chunk_id", "rank")
+    asked = materialise(rt.document_questions(_targets(t)))
+    counts = key_counts(t.document_chunks, ["patient_id"])
+    return rt.lexical_candidates(asked, searchable, counts).select("query_id", "chunk_id", "rank")
 
 
 @query(
@@ -160,7 +164,7 @@ def lexical_neighbours(t):
     over_views("SELECT query_id, CAST(day AS VARCHAR) AS target_date FROM extremes", ROUTED_SQL, RETRIEVAL_SQL),
 )
 def extremum_dates(t):
-    return rt.extremum_dates(rt._asked(_targets(t)), t.medical_documents).select(
+    return rt.extremum_dates(rt.document_questions(_targets(t)), t.medical_documents).select(
         "query_id", F.col("target_date").cast("string").alias("target_date")
     )
 
@@ -266,20 +270,20 @@ RECORD_SQL = f"""facts AS (
   SELECT patient_id, 'conditions' AS domain, id, name, name AS match_text, status, started_at, ended_at, started_at AS day,
     NULL::VARCHAR AS dosage, NULL::VARCHAR AS frequency, NULL::VARCHAR AS blood_group,
     NULL::VARCHAR AS event_type, NULL::VARCHAR AS event_state, NULL::VARCHAR AS title, NULL::VARCHAR AS description,
-    NULL::DATE AS event_day FROM conditions
+    NULL::DATE AS event_day, recorded_at AS rec, created_at AS cre FROM conditions
   UNION ALL SELECT patient_id, 'medications', id, name, name, status, started_at, ended_at, started_at, dosage, frequency, NULL,
-    NULL, NULL, NULL, NULL, NULL FROM medications
+    NULL, NULL, NULL, NULL, NULL, recorded_at, created_at FROM medications
   UNION ALL SELECT patient_id, 'symptoms', id, name, name, NULL, started_at, ended_at, started_at, NULL, NULL, NULL,
-    NULL, NULL, NULL, NULL, NULL FROM symptoms
+    NULL, NULL, NULL, NULL, NULL, recorded_at, created_at FROM symptoms
   UNION ALL SELECT patient_id, 'allergies', id, allergen, allergen, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
-    NULL, NULL, NULL, NULL, NULL FROM allergies
+    NULL, NULL, NULL, NULL, NULL, recorded_at, created_at FROM allergies
   UNION ALL SELECT patient_id, 'goals', id, NULL, description, status, NULL, NULL, NULL, NULL, NULL, NULL,
-    NULL, NULL, NULL, NULL, NULL FROM patient_goals
+    NULL, NULL, NULL, NULL, NULL, recorded_at, created_at FROM patient_goals
   UNION ALL SELECT patient_id, 'profile', id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, blood_group,
-    NULL, NULL, NULL, NULL, NULL FROM health_profiles
+    NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM health_profiles
   UNION ALL SELECT patient_id, 'timeline', source_id, NULL, NULL, NULL, NULL, NULL,
     CASE WHEN event_type <> 'DOCUMENT_UPLOADED' THEN CAST(substr(event_date, 1, 10) AS DATE) END, NULL, NULL, NULL,
-    event_type, event_state, title, description, CAST(substr(event_date, 1, 10) AS DATE) FROM timeline_events),
+    event_type, event_state, title, description, CAST(substr(event_date, 1, 10) AS DATE), NULL, created_at FROM timeline_events),
 asked_domains AS (
   SELECT query_id, patient_id, target_entity, requested_attributes, temporal_scope, start_date, end_date, raw_expression,
     superlative, question_intent, routing_mode, unnest(list_zip(structured_domains, range(len(structured_domains)))) AS z
@@ -496,3 +500,156 @@ def fused_verdicts(t):
     targets = materialise(_targets(t, "CROSS_DOMAIN")).where("question_intent = 'QUERY' AND superlative IS NULL")
     passages = materialise(_retrieved(t, targets))
     return _flat(vd.fused_evidence(targets.drop("query_vec"), health_records(t), passages).verdicts)
+
+
+# --- comparisons and latest/first over the whole candidate pool ---------------------------------
+
+_NAMED = f"""(target_entity IS NULL OR CASE WHEN domain = 'timeline'
+  THEN {word_sql('lower(target_entity)', "coalesce(lower(description), '')")} OR {word_sql('lower(target_entity)', 'lower(title)')}
+  ELSE {word_sql('lower(target_entity)', "coalesce(lower(name), '')")} END)"""
+_BOTH = "lower(concat(title, ' ', coalesce(description, '')))"
+POOL_SQL = f"""pool AS (
+  SELECT query_id, 0 AS cls, domain, CAST(id AS VARCHAR) AS tie_id, 0 AS chunk_index, NULL::BIGINT AS chunk_id, day,
+    CASE WHEN len(requested_attributes) = 0 THEN [] WHEN domain = 'timeline' THEN {_held_or_named(_BOTH)} ELSE {_FIELDS} END AS have
+  FROM pairs WHERE (question_intent = 'COMPARISON' OR (routing_mode = 'CROSS_DOMAIN' AND superlative IS NOT NULL))
+    AND event_type IS DISTINCT FROM 'DOCUMENT_UPLOADED' AND {_NAMED}
+  UNION ALL
+  SELECT c.query_id, 1, 'documents', CAST(c.document_id AS VARCHAR), c.chunk_index, c.chunk_id, c.day, c.have
+  FROM cands c JOIN routed r USING (query_id)
+  WHERE (r.question_intent = 'COMPARISON' OR r.superlative IS NOT NULL) AND (r.target_entity IS NULL OR c.hit)),
+pool_targets AS (
+  SELECT r.* FROM routed r WHERE (question_intent = 'COMPARISON' OR (superlative IS NOT NULL AND routing_mode <> 'STRUCTURED_ONLY'))
+    AND (routing_mode <> 'DOCUMENT_ONLY' OR query_id IN (SELECT query_id FROM cands)))"""
+
+TREND_SQL = f"""dated AS (
+  SELECT p.query_id, p.day, flatten(list(p.have)) AS have, row_number() OVER (PARTITION BY p.query_id ORDER BY p.day) AS up,
+    row_number() OVER (PARTITION BY p.query_id ORDER BY p.day DESC) AS down, count(*) OVER (PARTITION BY p.query_id) AS n_dates
+  FROM pool p JOIN pool_targets t USING (query_id) WHERE t.question_intent = 'COMPARISON' AND p.day IS NOT NULL GROUP BY p.query_id, p.day),
+milestones AS (SELECT *, CASE WHEN n_dates = 1 THEN 4 WHEN n_dates >= 3 AND down <> 1 THEN 1 ELSE 2 END AS quota
+  FROM dated WHERE up = 1 OR down <= 2),
+trend_shown AS (
+  SELECT query_id, chunk_id, tie_id, chunk_index, day FROM (SELECT p.*, m.quota,
+      row_number() OVER (PARTITION BY p.query_id, p.day ORDER BY len(p.have) DESC, p.tie_id, p.chunk_index) AS place
+    FROM pool p JOIN milestones m ON m.query_id = p.query_id AND m.day = p.day WHERE cls = 1) WHERE place <= quota),
+trend_counts AS (
+  SELECT t.query_id, t.routing_mode, t.target_entity, t.requested_attributes, coalesce(max(m.n_dates), 0) AS n, min(m.day) AS only_day,
+    list_filter(t.requested_attributes, lambda a: list_contains(coalesce(flatten(list(m.have)), []), a)) AS matched,
+    list_filter(t.requested_attributes, lambda a: len(list_filter(coalesce(list(m.have), []), lambda h: list_contains(h, a))) = 1) AS single,
+    list_filter(t.requested_attributes, lambda a: list_contains(coalesce(any_value(u.have), []), a)) AS anywhere
+  FROM pool_targets t LEFT JOIN milestones m USING (query_id)
+  LEFT JOIN (SELECT query_id, flatten(list(have)) AS have FROM pool GROUP BY query_id) u ON u.query_id = t.query_id
+  WHERE t.question_intent = 'COMPARISON' GROUP BY t.query_id, t.routing_mode, t.target_entity, t.requested_attributes),
+trend_verdicts AS (
+  SELECT query_id, CASE WHEN n = 0 THEN [] ELSE matched END AS matched, miss AS missing, CASE WHEN n = 0 THEN 'INSUFFICIENT'
+      WHEN n = 1 THEN 'PARTIALLY_SUFFICIENT' WHEN len(miss) + len(single) = 0 THEN 'SUFFICIENT'
+      WHEN len(anywhere) > 0 OR target_entity IS NOT NULL THEN 'PARTIALLY_SUFFICIENT' ELSE 'INSUFFICIENT' END AS status,
+    concat(CASE WHEN n = 0 THEN 'No clinically dated records were found to compare changes over time.'
+      WHEN n = 1 THEN concat('Only a single record on ', CAST(only_day AS VARCHAR),
+        ' was found; at least two recorded dates are required to compare changes over time.',
+        CASE WHEN len(miss) > 0 THEN concat(' Not recorded: ', {_label('miss')}, '.') ELSE '' END)
+      WHEN len(requested_attributes) = 0 THEN 'Relevant records found across comparison dates.'
+      WHEN len(miss) + len(single) = 0 THEN 'All requested information is recorded across comparison dates.'
+      ELSE concat_ws(' ', CASE WHEN target_entity IS NOT NULL THEN concat(target_entity, ' is recorded.') ELSE 'Information partially available.' END,
+        CASE WHEN len({_less('miss', 'anywhere')}) > 0 THEN concat('Not found in records: ', {_label(_less('miss', 'anywhere'))}, '.') END,
+        CASE WHEN len(list_intersect(miss, anywhere)) > 0 THEN concat('Not recorded on the selected comparison milestone dates: ',
+          {_label('list_intersect(miss, anywhere)')}, '.') END,
+        CASE WHEN len(single) > 0 THEN concat('Attribute ''', {_label('single')},
+          ''' was recorded on only one milestone date and cannot be compared across time.') END) END,
+      CASE WHEN n > 3 THEN ' {lx.BOUNDED_QUALIFIER}' ELSE '' END) AS directive,
+    CASE WHEN n > 3 THEN 'BOUNDED_WITH_ADDITIONAL_QUALIFIED_CANDIDATES' WHEN n > 0 THEN 'COMPLETE_WITHIN_EVALUATED_CANDIDATES' END AS completeness
+  FROM (SELECT *, {_less('requested_attributes', 'matched')} AS miss FROM trend_counts))"""
+
+BEST_SQL = f"""qualified AS (
+  SELECT p.*, t.superlative, t.requested_attributes FROM pool p JOIN pool_targets t USING (query_id)
+  WHERE t.question_intent = 'QUERY' AND (len(t.requested_attributes) = 0 OR len(p.have) > 0)),
+winners AS (
+  SELECT query_id, count(*) AS n, CASE WHEN any_value(superlative) = 'latest' THEN max(day) ELSE min(day) END AS win FROM qualified GROUP BY query_id),
+bucketed AS (
+  SELECT q.*, w.win, CASE WHEN q.day IS NULL THEN 'none' WHEN q.day = w.win THEN 'win' ELSE 'other' END AS bucket
+  FROM qualified q JOIN winners w USING (query_id) WHERE cls = 1),
+bucket_sizes AS (
+  SELECT query_id, least(n_win, CASE WHEN n_other > 0 THEN 2 ELSE 4 END) AS take_win, n_other FROM (
+    SELECT query_id, count(*) FILTER (WHERE bucket = 'win') AS n_win, count(*) FILTER (WHERE bucket = 'other') AS n_other
+    FROM bucketed GROUP BY query_id)),
+best_shown AS (
+  SELECT query_id, chunk_id, tie_id, chunk_index, day, have, win FROM (SELECT b.*, s.take_win, least(s.n_other, 4 - s.take_win) AS take_other,
+      CASE WHEN bucket = 'other' AND superlative = 'latest'
+        THEN row_number() OVER (PARTITION BY b.query_id, bucket ORDER BY day DESC, tie_id DESC, chunk_index DESC)
+        ELSE row_number() OVER (PARTITION BY b.query_id, bucket ORDER BY day, tie_id, chunk_index) END AS place
+    FROM bucketed b JOIN bucket_sizes s USING (query_id))
+  WHERE place <= CASE bucket WHEN 'win' THEN take_win WHEN 'other' THEN take_other ELSE 4 - take_win - take_other END),
+best_rows AS (
+  SELECT t.*, w.n, w.win,
+    list_filter(t.requested_attributes, lambda a: list_contains(coalesce(f.have, []), a)) AS full_have,
+    list_filter(t.requested_attributes, lambda a: list_contains(coalesce(f.rec, []), a) OR list_contains(coalesce(s.have, []), a)) AS seen
+  FROM (SELECT * FROM pool_targets WHERE question_intent = 'QUERY') t LEFT JOIN winners w USING (query_id)
+  LEFT JOIN (SELECT q.query_id, flatten(list(q.have)) AS have, flatten(list(q.have) FILTER (WHERE cls = 0)) AS rec
+    FROM qualified q JOIN winners w ON w.query_id = q.query_id AND q.day = w.win GROUP BY q.query_id) f ON f.query_id = t.query_id
+  LEFT JOIN (SELECT query_id, flatten(list(have)) AS have FROM best_shown WHERE day = win GROUP BY query_id) s ON s.query_id = t.query_id),
+best_verdicts AS (
+  SELECT query_id, CASE WHEN win IS NULL THEN [] ELSE list_concat(covered, omitted) END AS matched,
+    CASE WHEN win IS NULL THEN requested_attributes ELSE miss END AS missing,
+    CASE WHEN n IS NULL THEN 'INSUFFICIENT' WHEN win IS NULL THEN 'PARTIALLY_SUFFICIENT'
+      WHEN len(miss) > 0 AND len(covered) + len(omitted) = 0 THEN 'INSUFFICIENT'
+      WHEN len(miss) + len(omitted) > 0 THEN 'PARTIALLY_SUFFICIENT' ELSE 'SUFFICIENT' END AS status,
+    CASE WHEN n IS NULL THEN CASE WHEN routing_mode = 'CROSS_DOMAIN' THEN concat('No records found for ', coalesce(target_entity, 'health query'), '.')
+        ELSE concat('{_NO}', CASE WHEN len(requested_attributes) > 0 THEN {_label('requested_attributes')} ELSE coalesce(target_entity, 'health') END, '.') END
+      WHEN win IS NULL THEN concat('Identified ', coalesce(target_entity, 'health'),
+        ' records, but no verifiable clinical dates were recorded to establish recency.')
+      ELSE concat(CASE WHEN superlative = 'latest' THEN 'Most recent ' ELSE 'Earliest ' END, coalesce(target_entity, 'health'),
+        ' record identified on ', CAST(win AS VARCHAR), '.',
+        CASE WHEN len(miss) > 0 THEN concat(' Not recorded on ', CAST(win AS VARCHAR), ': ', {_label('miss')}, '.') ELSE '' END,
+        CASE WHEN len(omitted) > 0 THEN concat(' Additional information for ''', {_label('omitted')}, ''' on ', CAST(win AS VARCHAR),
+          ' could not be displayed due to summary space limits.') ELSE '' END) END AS directive
+  FROM (SELECT *, {_less('requested_attributes', 'full_have')} AS miss, {_less('full_have', 'seen')} AS omitted,
+      list_filter(full_have, lambda a: list_contains(seen, a)) AS covered FROM best_rows))"""
+
+_POOL_PARTS = (ROUTED_SQL, RECORD_SQL, RETRIEVAL_SQL, PASSAGE_SQL, POOL_SQL)
+
+
+def _pooled_evidence(t, condition: str):
+    """Evidence of the inquiries decided over their whole candidate pool."""
+    targets = materialise(_targets(t)).where(condition)
+    passages = materialise(_retrieved(t, targets))
+    some = passages.select("query_id", "patient_id").distinct()
+    documents_only = F.col("routing_mode") == "DOCUMENT_ONLY"
+    lean = targets.drop("query_vec")
+    open_ = lean.where(~documents_only).unionByName(lean.where(documents_only).join(some, ["query_id", "patient_id"], "left_semi"))
+    return vd.evaluate(open_, health_records(t), passages)
+
+
+@query("comparison_verdicts", over_views(_OUT + "trend_verdicts", *_POOL_PARTS, TREND_SQL))
+def comparison_verdicts(t):
+    return _flat(_pooled_evidence(t, "question_intent = 'COMPARISON'").verdicts)
+
+
+_SUPERLATIVE = "question_intent = 'QUERY' AND superlative IS NOT NULL AND routing_mode <> 'STRUCTURED_ONLY'"
+
+
+@query("superlative_verdicts", over_views(_OUT + "best_verdicts", *_POOL_PARTS, BEST_SQL))
+def superlative_verdicts(t):
+    return _flat(_pooled_evidence(t, _SUPERLATIVE).verdicts)
+
+
+@query(
+    "milestone_passages",
+    over_views(
+        "SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY day, tie_id, chunk_index) AS place FROM trend_shown",
+        *_POOL_PARTS, TREND_SQL,
+    ),
+)
+def milestone_passages(t):
+    shown = _pooled_evidence(t, "question_intent = 'COMPARISON'").passages
+    return shown.select("query_id", F.col("chunk_id").cast("long").alias("chunk_id"), "place")
+
+
+@query(
+    "winner_passages",
+    over_views(
+        "SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY day NULLS FIRST, tie_id, chunk_index) AS place FROM best_shown",
+        *_POOL_PARTS, BEST_SQL,
+    ),
+)
+def winner_passages(t):
+    shown = _pooled_evidence(t, _SUPERLATIVE).passages
+    return shown.select("query_id", F.col("chunk_id").cast("long").alias("chunk_id"), "place")
