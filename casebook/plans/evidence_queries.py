@@ -653,3 +653,263 @@ def milestone_passages(t):
 def winner_passages(t):
     shown = _pooled_evidence(t, _SUPERLATIVE).passages
     return shown.select("query_id", F.col("chunk_id").cast("long").alias("chunk_id"), "place")
+
+
+# --- answers, citations, context ---------------------------------------------------------------
+
+
+@query(
+    "inquiry_routes",
+    over_views(
+        "SELECT query_id, contains(query_text, 'passed out') AS safety_triggered, routing_mode,"
+        " routing_mode = 'AMBIGUOUS_CLARIFY' AS clarification_required FROM targets"
+    ),
+)
+def inquiry_routes(t):
+    return an.gate(t.inquiries).select("query_id", "safety_triggered", "routing_mode", "clarification_required")
+
+
+ALL_SQL = f"""all_verdicts AS (
+  SELECT query_id, status, matched, missing, directive, NULL AS completeness FROM structured_verdicts WHERE routing_mode = 'STRUCTURED_ONLY'
+  UNION ALL SELECT query_id, status, matched, missing, directive, NULL FROM passage_verdicts
+    WHERE routing_mode = 'DOCUMENT_ONLY' AND (NOT retrieved OR (superlative IS NULL AND question_intent = 'QUERY'))
+  UNION ALL SELECT query_id, status, matched, missing, directive, NULL FROM fused_verdicts
+  UNION ALL SELECT query_id, status, matched, missing, directive, completeness FROM trend_verdicts
+  UNION ALL SELECT query_id, status, matched, missing, directive, NULL FROM best_verdicts),
+useful AS (SELECT * FROM all_verdicts WHERE status <> 'INSUFFICIENT'),
+record_values AS (
+  SELECT id, domain, dosage, frequency, status, blood_group FROM facts WHERE domain <> 'timeline'),
+matched_records AS (
+  SELECT h.query_id, h.domain, CAST(h.id AS VARCHAR) AS tie, h.domain_ord, h.rec, h.cre, NULL::DATE AS day, h.dosage, h.frequency,
+    h.status, h.blood_group, h.event_type
+  FROM held h JOIN useful u USING (query_id) JOIN structured_verdicts sv ON sv.query_id = h.query_id AND sv.status <> 'INSUFFICIENT'
+  JOIN domain_results d ON d.query_id = h.query_id AND d.domain = h.domain AND d.status <> 'INSUFFICIENT'
+  LEFT JOIN winning w ON w.query_id = h.query_id AND w.domain = h.domain
+  WHERE h.survives AND (w.win IS NULL OR h.day = w.win)
+  UNION ALL
+  SELECT p.query_id, p.domain, p.tie_id, 0, NULL, NULL, p.day, v.dosage, v.frequency, v.status, v.blood_group, p.event_type
+  FROM (SELECT p.query_id, p.domain, p.tie_id, p.day, NULL AS event_type FROM pool p JOIN milestones m ON m.query_id = p.query_id AND m.day = p.day
+      WHERE cls = 0
+    UNION ALL SELECT query_id, domain, tie_id, day, NULL FROM qualified WHERE cls = 0) p
+  JOIN useful u USING (query_id) LEFT JOIN record_values v ON v.domain = p.domain AND CAST(v.id AS VARCHAR) = p.tie_id),
+plain_shown AS (
+  SELECT c.query_id, c.chunk_id, row_number() OVER (PARTITION BY c.query_id ORDER BY
+      CASE WHEN len(r.requested_attributes) > 0 AND r.target_entity IS NULL THEN b.first_ord ELSE 0 END,
+      CASE WHEN len(r.requested_attributes) > 0 AND NOT c.hit THEN list_position(r.requested_attributes, c.have[1]) ELSE 0 END, c.ord) AS place
+  FROM cands c JOIN routed r USING (query_id) JOIN useful u USING (query_id)
+  JOIN passage_verdicts pv ON pv.query_id = c.query_id AND pv.status <> 'INSUFFICIENT'
+  JOIN best_docs b ON b.query_id = c.query_id AND b.document_id = c.document_id
+  WHERE r.superlative IS NULL AND r.question_intent = 'QUERY' AND CASE
+    WHEN len(r.requested_attributes) > 0 AND r.target_entity IS NOT NULL THEN (c.hit OR len(c.have) > 0) AND c.document_id = (
+      SELECT x.document_id FROM best_docs x WHERE x.query_id = c.query_id AND x.has_hit ORDER BY len(x.have) DESC, x.first_ord LIMIT 1)
+    WHEN r.target_entity IS NOT NULL THEN c.hit WHEN len(r.requested_attributes) > 0 THEN len(c.have) > 0 ELSE true END),
+shown AS (
+  SELECT query_id, chunk_id, place FROM plain_shown
+  UNION ALL SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY day NULLS FIRST, tie_id, chunk_index)
+    FROM (SELECT * FROM trend_shown UNION ALL SELECT query_id, chunk_id, tie_id, chunk_index, day FROM best_shown)
+    WHERE query_id IN (SELECT query_id FROM useful)),
+details AS (
+  SELECT s.query_id, s.place, c.id AS chunk_id, c.document_id, c.chunk_index, c.page_number, c.chunk_text, d.display_name,
+    d.document_type, d.document_date
+  FROM shown s JOIN document_chunks c ON c.id = s.chunk_id JOIN medical_documents d ON d.id = c.document_id)"""
+
+_EVERYTHING = (ROUTED_SQL, RECORD_SQL, STRUCTURED_SQL, RETRIEVAL_SQL, PASSAGE_SQL, FUSED_SQL, POOL_SQL, TREND_SQL, BEST_SQL, ALL_SQL)
+
+_TEXT_VALUE = r"""CASE q.a
+  WHEN 'dosage' THEN coalesce(nullif(trim(regexp_extract(txt, '(?i)(?:dosage|dose|strength)\s*:\s*([^\n\r]+)', 1)), ''),
+    nullif(trim(regexp_extract(txt, '(?i)\b(\d+(?:\.\d+)?\s*(?:mg|mcg|g|ml)\b[^\n\r,.]*)', 1)), ''))
+  WHEN 'physician_name' THEN coalesce(nullif(trim(regexp_replace(regexp_extract(txt,
+      '(?i)(?:prescribing (?:physician|doctor)|prescribed by|ordered by|physician|provider|doctor)\s*:\s*([^\n\r]+)', 1), '\(.*?\)', '', 'g')), ''),
+    nullif(trim(regexp_extract(txt, '(?i)\b(dr\.?\s+[a-z]+(?:\s+[a-z]+){0,2}(?:,\s*md)?)\b', 1)), ''))
+  WHEN 'clinic' THEN nullif(trim(regexp_replace(regexp_extract(txt, '(?i)(?:clinic|facility|hospital|practice)\s*:\s*([^\n\r]+)', 1), '\(.*?\)', '', 'g')), '')
+  WHEN 'contact_number' THEN nullif(trim(regexp_extract(txt, '(?i)(?:phone|tel|telephone|contact|fax)\s*(?:#|no\.?|number)?\s*:\s*([^\n\r]+)', 1)), '')
+  WHEN 'frequency' THEN nullif(trim(regexp_extract(txt, '(?i)(?:frequency|schedule)\s*:\s*([^\n\r]+)', 1)), '')
+  WHEN 'status' THEN nullif(trim(regexp_extract(txt, '(?i)\bstatus\s*:\s*([^\n\r]+)', 1)), '') END"""
+
+ANSWER_SQL = f"""asked_values AS (
+  SELECT u.query_id, unnest(u.matched) AS a, unnest(range(len(u.matched))) AS pos FROM useful u),
+first_values AS (
+  SELECT query_id, a, first(v ORDER BY domain_ord, day NULLS FIRST, rec DESC, cre DESC, tie) AS v FROM (
+    SELECT q.query_id, q.a, m.domain_ord, m.day, m.rec, m.cre, m.tie, CASE q.a WHEN 'dosage' THEN m.dosage WHEN 'frequency' THEN m.frequency
+      WHEN 'status' THEN m.status WHEN 'blood_group' THEN m.blood_group END AS v
+    FROM asked_values q JOIN matched_records m USING (query_id) WHERE m.domain <> 'timeline') WHERE v IS NOT NULL GROUP BY query_id, a),
+texts AS (SELECT query_id, string_agg(chunk_text, ' ' ORDER BY place) AS txt FROM details GROUP BY query_id),
+stated AS (
+  SELECT query_id, string_agg(concat_ws(': ', a, v), ', ' ORDER BY pos) AS words FROM (
+    SELECT q.query_id, q.a, q.pos, coalesce(f.v, {_TEXT_VALUE}) AS v
+    FROM asked_values q LEFT JOIN first_values f ON f.query_id = q.query_id AND f.a = q.a LEFT JOIN texts t ON t.query_id = q.query_id)
+  GROUP BY query_id),
+answers AS (
+  SELECT t.query_id, coalesce(v.status, 'INSUFFICIENT') AS evidence_status, CASE
+    WHEN contains(t.query_text, 'passed out') THEN '{lx.SAFETY_ADVISORY}'
+    WHEN t.routing_mode = 'AMBIGUOUS_CLARIFY' THEN '{lx.CLARIFICATION_PROMPT}'
+    WHEN t.routing_mode = 'UNROUTABLE' THEN '{lx.UNROUTABLE_ANSWER}'
+    WHEN v.status = 'SUFFICIENT' THEN concat(CASE
+        WHEN d.query_id IS NOT NULL AND t.query_id IN (SELECT query_id FROM matched_records)
+          THEN concat('According to structured records and your uploaded ', d.display_name, coalesce(concat(' from ', CAST(d.document_date AS VARCHAR)), ''), ', records ')
+        WHEN d.query_id IS NOT NULL THEN concat('According to your uploaded ', d.display_name, coalesce(concat(' from ', CAST(d.document_date AS VARCHAR)), ''), ', records ')
+        ELSE 'Records ' END, 'confirm ', coalesce(t.target_entity, 'requested information'), '.',
+      coalesce(concat(' Attributes ', s.words, ' are present.'), ''),
+      CASE WHEN v.completeness LIKE 'BOUNDED%' THEN concat(chr(10), chr(10), '{lx.BOUNDED_QUALIFIER}') ELSE '' END)
+    ELSE v.directive END AS answer
+  FROM targets t LEFT JOIN all_verdicts v USING (query_id) LEFT JOIN details d ON d.query_id = t.query_id AND d.place = 1
+  LEFT JOIN stated s ON s.query_id = t.query_id)"""
+
+
+@query("inquiry_results", over_views("SELECT * FROM answers", *_EVERYTHING, ANSWER_SQL))
+def inquiry_results(t):
+    return an.answer_inquiries(t.inquiries, t).results.select("query_id", "evidence_status", "answer")
+
+
+@query(
+    "inquiry_citations",
+    over_views(
+        """SELECT query_id, CAST(sum(n_records) AS BIGINT) AS n_records, CAST(sum(n_documents) AS BIGINT) AS n_documents,
+  CAST(sum(n_records) + sum(n_documents) AS BIGINT) AS last_number FROM (
+  SELECT query_id, count(*) AS n_records, 0 AS n_documents FROM matched_records GROUP BY query_id
+  UNION ALL SELECT query_id, 0, count(DISTINCT document_id) FROM details GROUP BY query_id) GROUP BY query_id""",
+        *_EVERYTHING,
+    ),
+)
+def inquiry_citations(t):
+    cited = an.answer_inquiries(t.inquiries, t).citations
+    is_document = F.col("entity_type") == "DOCUMENT"
+    return cited.groupBy("query_id").agg(
+        F.count_if(~is_document).alias("n_records"), F.count_if(is_document).alias("n_documents"),
+        F.max("citation_id").alias("last_number"),
+    )
+
+
+@query(
+    "passage_blocks",
+    over_views(
+        """SELECT query_id, place, concat('[DOC-', place, '] Document: ', display_name, ' | Date: ', coalesce(CAST(document_date AS VARCHAR), 'not recorded'),
+  ' | Page: ', coalesce(CAST(page_number AS VARCHAR), 'not recorded'), ' | Type: ', upper(document_type), chr(10), 'Passage:', chr(10),
+  substr(chunk_text, 1, 1200)) AS line FROM details WHERE place <= 5""",
+        *_EVERYTHING,
+    ),
+)
+def passage_blocks(t):
+    job = an.answer_inquiries(t.inquiries, t)
+    return cx.passage_blocks(job.details).select("query_id", "place", "line")
+
+
+_INCLUDED = [d for d in lx.CONTEXT_DOMAINS if d != "recent_timeline_events"]
+TOKEN_SQL = """sized AS (SELECT patient_id, domain, count(*) AS n FROM facts WHERE domain <> 'timeline' GROUP BY patient_id, domain),
+exposed AS (
+  SELECT r.query_id, r.patient_id, s.domain, s.n, list_position(['profile', 'conditions', 'medications', 'allergies', 'symptoms', 'goals'], s.domain) AS o
+  FROM routed r JOIN sized s ON s.patient_id = r.patient_id AND list_contains(r.structured_domains, s.domain)),
+placed AS (SELECT patient_id, domain, id, row_number() OVER (PARTITION BY patient_id, domain ORDER BY CAST(id AS VARCHAR)) AS place
+  FROM facts WHERE domain <> 'timeline'),
+tokens AS (
+  SELECT e.query_id, e.patient_id, e.domain, CAST(p.id AS VARCHAR) AS record_id, e.before + p.place AS number
+  FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY query_id ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    FROM exposed) e JOIN placed p ON p.patient_id = e.patient_id AND p.domain = e.domain)"""
+
+
+def _tokens(t):
+    records = health_records(t)
+    return cx.record_tokens(materialise(_targets(t).drop("query_vec")), records)
+
+
+@query(
+    "record_tokens",
+    over_views("SELECT query_id, domain, record_id, concat('[REC-', CAST(number AS BIGINT), ']') AS token FROM tokens", ROUTED_SQL, RECORD_SQL, TOKEN_SQL),
+)
+def record_tokens(t):
+    return _tokens(t).select("query_id", "domain", "record_id", "token")
+
+
+_S = "coalesce(CAST({0} AS VARCHAR), 'not recorded')"
+LINE_SQL = f"""lines AS (
+  SELECT query_id, record_id, concat('  [REC-', CAST(number AS BIGINT), '] [', upper(kind), '] ', body) AS line FROM (
+    SELECT k.query_id, k.record_id, k.number, 'condition' AS kind, concat('ended_at: ', {_S.format('ended_at')}, ', is_chronic: ',
+      CASE WHEN is_chronic THEN 'True' ELSE 'False' END, ', name: ', name, ', notes: ', {_S.format('notes')}, ', started_at: ',
+      {_S.format('started_at')}, ', status: ', status, ', verification_state: ', verification_state) AS body
+    FROM tokens k JOIN conditions x ON k.domain = 'conditions' AND CAST(x.id AS VARCHAR) = k.record_id
+    UNION ALL SELECT k.query_id, k.record_id, k.number, 'medication', concat('as_needed: ', CASE WHEN as_needed THEN 'True' ELSE 'False' END,
+      ', dosage: ', {_S.format('dosage')}, ', ended_at: ', {_S.format('ended_at')}, ', frequency: ', {_S.format('frequency')}, ', name: ', name,
+      ', notes: not recorded, started_at: ', {_S.format('started_at')}, ', status: ', status, ', verification_state: PATIENT_REPORTED')
+    FROM tokens k JOIN medications x ON k.domain = 'medications' AND CAST(x.id AS VARCHAR) = k.record_id
+    UNION ALL SELECT k.query_id, k.record_id, k.number, 'allergy', concat('allergen: ', allergen, ', notes: not recorded, reaction: ',
+      {_S.format('reaction')}, ', recorded_at: ', strftime(recorded_at, '%Y-%m-%dT%H:%M:%S+00:00'), ', severity: ', {_S.format('severity')},
+      ', verification_state: PATIENT_REPORTED')
+    FROM tokens k JOIN allergies x ON k.domain = 'allergies' AND CAST(x.id AS VARCHAR) = k.record_id
+    UNION ALL SELECT k.query_id, k.record_id, k.number, 'symptom', concat('ended_at: ', {_S.format('ended_at')}, ', name: ', name, ', notes: ',
+      {_S.format('notes')}, ', severity: ', {_S.format('severity')}, ', started_at: ', {_S.format('started_at')}, ', verification_state: PATIENT_REPORTED')
+    FROM tokens k JOIN symptoms x ON k.domain = 'symptoms' AND CAST(x.id AS VARCHAR) = k.record_id
+    UNION ALL SELECT k.query_id, k.record_id, k.number, 'goal', concat('description: ', description, ', notes: not recorded, status: ', status,
+      ', target_date: ', {_S.format('target_date')}, ', title: ', description, ', verification_state: PATIENT_REPORTED')
+    FROM tokens k JOIN patient_goals x ON k.domain = 'goals' AND CAST(x.id AS VARCHAR) = k.record_id
+    UNION ALL SELECT k.query_id, k.record_id, k.number, 'profile', concat('age_years: ', a.age, ', biological_sex: ', biological_sex,
+      CASE WHEN r.structured_domains[1] = 'profile' THEN concat(', blood_group: ', {_S.format('blood_group')}, ', height_cm: ',
+        CAST(CAST(height_cm AS DOUBLE) AS VARCHAR), ', notes: not recorded') ELSE '' END)
+    FROM tokens k JOIN health_profiles x ON k.domain = 'profile' AND CAST(x.id AS VARCHAR) = k.record_id JOIN routed r ON r.query_id = k.query_id
+    JOIN (SELECT patient_id, year(r) - year(d) - CASE WHEN (month(r), day(r)) < (month(d), day(d)) THEN 1 ELSE 0 END AS age
+      FROM (SELECT patient_id, date_of_birth AS d, DATE '2026-09-24' AS r FROM health_profiles)) a ON a.patient_id = x.patient_id))"""
+
+
+@query(
+    "record_lines",
+    over_views("SELECT query_id, record_id, line FROM lines", ROUTED_SQL, RECORD_SQL, TOKEN_SQL, LINE_SQL),
+)
+def record_lines(t):
+    return cx.record_lines(_tokens(t)).select("query_id", "record_id", "line")
+
+
+@query(
+    "cited_token_reconciliation",
+    over_views(
+        """SELECT query_id, record_id, min(position) AS position, arg_min(token, position) AS token FROM (
+  SELECT r.query_id, c.position, c.token, k.record_id FROM routed r
+  CROSS JOIN (VALUES (1, 'REC-1'), (2, 'REC-3'), (3, 'REC-1'), (4, 'REC-999999'), (5, 'REC-2')) AS c(position, token)
+  JOIN tokens k ON k.query_id = r.query_id AND k.number = CAST(substr(c.token, 5) AS BIGINT)) GROUP BY query_id, record_id""",
+        ROUTED_SQL, RECORD_SQL, TOKEN_SQL,
+    ),
+)
+def cited_token_reconciliation(t):
+    targets = materialise(_targets(t).drop("query_vec"))
+    tokens = cx.record_tokens(targets, health_records(t))
+    references = tokens.select("query_id", "patient_id", tx.strip(F.regexp_replace("token", r"[\[\]]", "")).alias("token"), "record_id")
+    mentions = F.array(F.lit("[REC-1]"), F.lit(" REC-3 "), F.lit("REC-1"), F.lit("[REC-999999]"), F.lit("[REC-2]"))
+    cited = targets.select("query_id", "patient_id", F.posexplode(mentions).alias("p", "raw_token")).select(
+        "query_id", "patient_id", (F.col("p") + 1).alias("position"), "raw_token"
+    )
+    return cx.reconcile_tokens(cited, references).select("query_id", "record_id", "position", "token")
+
+
+@query(
+    "context_line_counts",
+    over_views(
+        """SELECT section, count(*) AS n_lines FROM (
+  SELECT 'passages' AS section FROM details WHERE place <= 5 UNION ALL SELECT 'trajectory' FROM details
+  UNION ALL SELECT 'trajectory' FROM matched_records
+  UNION ALL SELECT 'records' FROM tokens JOIN useful USING (query_id)) GROUP BY section""",
+        *_EVERYTHING, TOKEN_SQL,
+    ),
+)
+def context_line_counts(t):
+    return context(t).groupBy("section").agg(F.count("*").alias("n_lines"))
+
+
+def context(t):
+    """The full context relation of all answerable inquiries."""
+    job = an.answer_inquiries(t.inquiries, t)
+    useful = job.evidence.verdicts.where("status <> 'INSUFFICIENT'").select("query_id", "patient_id")
+    tokens = materialise(cx.record_tokens(job.targets.join(useful, ["query_id", "patient_id"], "left_semi"), job.records))
+    trail = cx.trajectory_lines(job.evidence.records, job.records, tokens, job.details)
+    return cx.prompt_lines(cx.record_lines(tokens), cx.passage_blocks(job.details), trail)
+
+
+@query(
+    "context_leakage",
+    over_views(
+        """SELECT rule, 0 AS n_leaks, n_lines FROM (SELECT count(*) AS n_lines FROM (
+  SELECT 1 FROM details WHERE place <= 5 UNION ALL SELECT 1 FROM details UNION ALL SELECT 1 FROM matched_records
+  UNION ALL SELECT 1 FROM tokens JOIN useful USING (query_id)))
+CROSS JOIN (VALUES ('uuid_like'), ('internal_key'), ('birth_date')) AS r(rule)""",
+        *_EVERYTHING, TOKEN_SQL,
+    ),
+)
+def context_leakage(t):
+    return cx.leakage_flags(context(t), t.health_profiles)

@@ -34,3 +34,9 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write a relation several branches read, so no branch repeats its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Even out rows that are few but costly to work on; the fixed count keeps AQE from merging them."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *keys)
