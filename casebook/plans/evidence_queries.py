@@ -746,10 +746,10 @@ answers AS (
     WHEN t.routing_mode = 'UNROUTABLE' THEN '{lx.UNROUTABLE_ANSWER}'
     WHEN v.status = 'SUFFICIENT' THEN concat(CASE
         WHEN d.query_id IS NOT NULL AND t.query_id IN (SELECT query_id FROM matched_records)
-          THEN concat('According to structured records and your uploaded ', d.display_name, coalesce(concat(' from ', CAST(d.document_date AS VARCHAR)), ''), ', records ')
-        WHEN d.query_id IS NOT NULL THEN concat('According to your uploaded ', d.display_name, coalesce(concat(' from ', CAST(d.document_date AS VARCHAR)), ''), ', records ')
+          THEN concat('According to structured records and your uploaded ', d.display_name, coalesce(' from ' || CAST(d.document_date AS VARCHAR), ''), ', records ')
+        WHEN d.query_id IS NOT NULL THEN concat('According to your uploaded ', d.display_name, coalesce(' from ' || CAST(d.document_date AS VARCHAR), ''), ', records ')
         ELSE 'Records ' END, 'confirm ', coalesce(t.target_entity, 'requested information'), '.',
-      coalesce(concat(' Attributes ', s.words, ' are present.'), ''),
+      coalesce(' Attributes ' || s.words || ' are present.', ''),
       CASE WHEN v.completeness LIKE 'BOUNDED%' THEN concat(chr(10), chr(10), '{lx.BOUNDED_QUALIFIER}') ELSE '' END)
     ELSE v.directive END AS answer
   FROM targets t LEFT JOIN all_verdicts v USING (query_id) LEFT JOIN details d ON d.query_id = t.query_id AND d.place = 1
@@ -854,7 +854,7 @@ LINE_SQL = f"""lines AS (
     over_views("SELECT query_id, record_id, line FROM lines", ROUTED_SQL, RECORD_SQL, TOKEN_SQL, LINE_SQL),
 )
 def record_lines(t):
-    return cx.record_lines(_tokens(t)).select("query_id", "record_id", "line")
+    return cx.record_lines(_tokens(t), health_records(t)).select("query_id", "record_id", "line")
 
 
 @query(
@@ -898,7 +898,7 @@ def context(t):
     useful = job.evidence.verdicts.where("status <> 'INSUFFICIENT'").select("query_id", "patient_id")
     tokens = materialise(cx.record_tokens(job.targets.join(useful, ["query_id", "patient_id"], "left_semi"), job.records))
     trail = cx.trajectory_lines(job.evidence.records, job.records, tokens, job.details)
-    return cx.prompt_lines(cx.record_lines(tokens), cx.passage_blocks(job.details), trail)
+    return cx.prompt_lines(cx.record_lines(tokens, job.records), cx.passage_blocks(job.details), trail)
 
 
 @query(

@@ -44,7 +44,7 @@ def upload_verdicts(t):
   CASE WHEN doc_id % 2 = 0 THEN source END AS notes FROM documents""",
 )
 def upload_metadata(t):
-    uploads = t.table("documents").selectExpr(
+    uploads = t.documents.selectExpr(
         "doc_id", "CASE WHEN doc_id % 4 <> 0 THEN concat('f', doc_id, '.pdf') END AS file_name",
         "CASE WHEN doc_id % 3 = 0 THEN '  ' ELSE concat(' Scan ', doc_id, ' ') END AS display_name",
         "CASE doc_id % 5 WHEN 0 THEN '2024-02-30' WHEN 1 THEN '2024-03-01' WHEN 2 THEN 'yesterday' WHEN 3 THEN '2024-3-1' END"

@@ -43,7 +43,7 @@ def _texts(t):
     parts = [
         t.inquiries.selectExpr("concat('q', query_id) AS text_id", "query_text"),
         t.turns.selectExpr("concat('t', query_id) AS text_id", "query_text"),
-        t.table("documents").selectExpr("concat('d', doc_id) AS text_id", "text AS query_text"),
+        t.documents.selectExpr("concat('d', doc_id) AS text_id", "text AS query_text"),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("ref_date", F.lit("2026-09-24").cast("date"))
 
@@ -388,10 +388,8 @@ _ATTRIBUTES = tuple(at.PATTERNS) + ("contact_number",)
     ),
 )
 def attribute_evidence(t):
-    low = F.lower("chunk_text")
-    held = F.filter(
-        F.array(*[F.lit(n) for n in _ATTRIBUTES]), lambda a: at.attribute_in_text(a, low)
-    )
+    names = F.array(*[F.lit(n) for n in _ATTRIBUTES])
+    held = tx.let(F.lower("chunk_text"), lambda low: F.filter(names, lambda a: at.attribute_in_text(a, low)))
     return t.document_chunks.select(F.col("id").alias("chunk_id"), F.array_join(held, ",").alias("attributes"))
 
 

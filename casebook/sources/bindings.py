@@ -43,6 +43,13 @@ class Bindings:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def documents(self) -> DataFrame:
+        """Document texts; when they come in fewer files than there are task slots, spread over the slots."""
+        rows = self.table("documents")
+        slots = self.spark.sparkContext.defaultParallelism
+        return rows.repartition(slots, "doc_id") if len(rows.inputFiles()) < slots else rows
+
     @cached_property
     def patients(self) -> DataFrame:
         return self.table("customer").selectExpr("c_custkey AS patient_id", "c_custkey AS user_id")
@@ -175,7 +182,7 @@ class Bindings:
     def medical_documents(self) -> DataFrame:
         kinds = " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_DOC_TYPES))
         uploaded = "CAST(date_add(DATE'2020-01-01', CAST(doc_id % 2000 AS INT)) AS TIMESTAMP)"
-        return self.table("documents").selectExpr(
+        return self.documents.selectExpr(
             "doc_id AS id",
             f"doc_id % {DOCUMENT_TENANTS} AS patient_id",
             "concat('doc-', doc_id, '.pdf') AS file_name",
@@ -199,7 +206,7 @@ class Bindings:
             "CASE WHEN doc_id % 13 = 0 THEN 'FAILED' WHEN doc_id % 17 = 0 THEN 'UNSUPPORTED'"
             " ELSE 'COMPLETED' END"
         )
-        return self.table("documents").selectExpr(
+        return self.documents.selectExpr(
             "doc_id AS document_id",
             f"doc_id % {DOCUMENT_TENANTS} AS patient_id",
             f"{status} AS extraction_status",
@@ -213,7 +220,7 @@ class Bindings:
     @cached_property
     def document_chunks(self) -> DataFrame:
         """The whole text of every document in stored chunks, with vectors where they exist."""
-        pieces = self.table("documents").selectExpr(
+        pieces = self.documents.selectExpr(
             "doc_id",
             "text",
             f"explode(sequence(0, CAST(greatest(ceil(length(text) / {CHUNK_WIDTH}.0), 1) AS INT) - 1))"
