@@ -26,7 +26,8 @@ _ROUTED = ("STRUCTURED_ONLY", "DOCUMENT_ONLY", "CROSS_DOMAIN")
 
 def _targets(t, *modes: str):
     """Understood inquiries of the given routes, safety cases left out."""
-    gated = an.gate(t.inquiries)
+    # Written before filtering: a filter on computed columns would compute them twice.
+    gated = materialise(an.gate(t.inquiries))
     return gated.where(~F.col("safety_triggered") & F.col("routing_mode").isin(*(modes or _ROUTED)))
 
 
@@ -448,7 +449,7 @@ def _flat(verdicts):
     over_views(_OUT + "structured_verdicts WHERE routing_mode = 'STRUCTURED_ONLY'", ROUTED_SQL, RECORD_SQL, STRUCTURED_SQL),
 )
 def structured_verdicts(t):
-    targets = materialise(_targets(t, "STRUCTURED_ONLY").drop("query_vec")).where("question_intent = 'QUERY'")
+    targets = _targets(t, "STRUCTURED_ONLY").drop("query_vec").where("question_intent = 'QUERY'")
     return _flat(vd.structured_evidence(targets, health_records(t)).verdicts)
 
 
@@ -460,7 +461,7 @@ def structured_verdicts(t):
     ),
 )
 def passage_verdicts(t):
-    targets = materialise(_targets(t, "DOCUMENT_ONLY"))
+    targets = _targets(t, "DOCUMENT_ONLY")
     passages = materialise(_retrieved(t, targets))
     lean = targets.drop("query_vec")
     some = passages.select("query_id", "patient_id").distinct()
@@ -497,7 +498,7 @@ fused_verdicts AS (
     over_views(_OUT + "fused_verdicts", ROUTED_SQL, RECORD_SQL, STRUCTURED_SQL, RETRIEVAL_SQL, PASSAGE_SQL, FUSED_SQL),
 )
 def fused_verdicts(t):
-    targets = materialise(_targets(t, "CROSS_DOMAIN")).where("question_intent = 'QUERY' AND superlative IS NULL")
+    targets = _targets(t, "CROSS_DOMAIN").where("question_intent = 'QUERY' AND superlative IS NULL")
     passages = materialise(_retrieved(t, targets))
     return _flat(vd.fused_evidence(targets.drop("query_vec"), health_records(t), passages).verdicts)
 
@@ -609,7 +610,7 @@ _POOL_PARTS = (ROUTED_SQL, RECORD_SQL, RETRIEVAL_SQL, PASSAGE_SQL, POOL_SQL)
 
 def _pooled_evidence(t, condition: str):
     """Evidence of the inquiries decided over their whole candidate pool."""
-    targets = materialise(_targets(t)).where(condition)
+    targets = _targets(t).where(condition)
     passages = materialise(_retrieved(t, targets))
     some = passages.select("query_id", "patient_id").distinct()
     documents_only = F.col("routing_mode") == "DOCUMENT_ONLY"
@@ -809,7 +810,7 @@ tokens AS (
 
 def _tokens(t):
     records = health_records(t)
-    return cx.record_tokens(materialise(_targets(t).drop("query_vec")), records)
+    return cx.record_tokens(_targets(t).drop("query_vec"), records)
 
 
 @query(
@@ -868,7 +869,7 @@ def record_lines(t):
     ),
 )
 def cited_token_reconciliation(t):
-    targets = materialise(_targets(t).drop("query_vec"))
+    targets = _targets(t).drop("query_vec")
     tokens = cx.record_tokens(targets, health_records(t))
     references = tokens.select("query_id", "patient_id", tx.strip(F.regexp_replace("token", r"[\[\]]", "")).alias("token"), "record_id")
     mentions = F.array(F.lit("[REC-1]"), F.lit(" REC-3 "), F.lit("REC-1"), F.lit("[REC-999999]"), F.lit("[REC-2]"))
