@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from casebook.functions import lexicons as lx
@@ -11,7 +9,6 @@ from casebook.functions import text as tx
 from casebook.functions.skew import key_counts
 from casebook.operators import answer as an
 from casebook.operators import context as cx
-from casebook.operators import evidence as ev
 from casebook.operators import retrieve as rt
 from casebook.operators import understand as un
 from casebook.operators import verdicts as vd
@@ -261,12 +258,6 @@ def _less(a: str, b: str) -> str:
     return f"list_filter({a}, lambda x: NOT list_contains({b}, x))"
 
 
-def _field(domain: str, names: dict[str, str]) -> str:
-    tests = " ".join(f"WHEN '{k}' THEN {v} IS NOT NULL" for k, v in names.items())
-    return f"list_filter(requested_attributes, lambda a: CASE a {tests} ELSE false END)" if names else "[]::VARCHAR[]"
-
-
-_NULLS = "NULL::VARCHAR AS status, NULL::DATE AS started_at, NULL::DATE AS ended_at"
 RECORD_SQL = f"""facts AS (
   SELECT patient_id, 'conditions' AS domain, id, name, name AS match_text, status, started_at, ended_at, started_at AS day,
     NULL::VARCHAR AS dosage, NULL::VARCHAR AS frequency, NULL::VARCHAR AS blood_group,
@@ -795,7 +786,6 @@ def passage_blocks(t):
     return cx.passage_blocks(job.details).select("query_id", "place", "line")
 
 
-_INCLUDED = [d for d in lx.CONTEXT_DOMAINS if d != "recent_timeline_events"]
 TOKEN_SQL = """sized AS (SELECT patient_id, domain, count(*) AS n FROM facts WHERE domain <> 'timeline' GROUP BY patient_id, domain),
 exposed AS (
   SELECT r.query_id, r.patient_id, s.domain, s.n, list_position(['profile', 'conditions', 'medications', 'allergies', 'symptoms', 'goals'], s.domain) AS o
