@@ -10,7 +10,6 @@ from casebook.functions.skew import key_counts
 from casebook.operators import answer as an
 from casebook.operators import context as cx
 from casebook.operators import retrieve as rt
-from casebook.operators import understand as un
 from casebook.operators import verdicts as vd
 from casebook.operators.records import health_records
 from casebook.plans.oracle_views import over_views
