@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from casebook.llm import bpe, fm_index, language, sketches, token_counts, token_store
+from casebook.llm import bpe, fm_index, language, prefix_free, sketches, token_counts, token_store
 from casebook.llm.storage import shared_folder
 
 
@@ -38,6 +38,10 @@ def token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_store.token_checks(token_store.read_tokens(spark, files))
 
 
+def suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_free.removal_digests(_table(spark, folder, "documents"))
+
+
 def languages(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     return language.identify(docs, language.train(docs))
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": decontamination,
     "op5_token_counts": token_lengths,
     "op6_token_files": token_files,
+    "op9_suffix_dedup": suffix_dedup,
     "op10_languages": languages,
 }
 

@@ -11,20 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+from casebook.llm.hashing import FACTOR, Ranges, mix
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
 class Shingler:
     """64-bit hashes of the `width`-word shingles of many texts at once.
 
@@ -33,30 +27,20 @@ class Shingler:
 
     def __init__(self, width: int = 5):
         self.width = width
-        self.up = self.down = np.zeros(0, np.uint64)
-
-    @staticmethod
-    def mix(x: np.ndarray) -> np.ndarray:
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+        self.ranges = Ranges()
 
     def hashes(self, texts: list[bytes]) -> list[np.ndarray]:
         data = _LOWER[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
-        if len(self.up) < len(data) + 1:
-            self.up, self.down = _powers(_FACTOR, len(data) + 1), _powers(_INVERSE, len(data) + 1)
         ink = ~_SPACE[data]
         edge = np.flatnonzero(np.diff(ink, prepend=False, append=False))
         start, stop = edge[::2], edge[1::2]
-        rolling = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)], out=rolling[1:])
-        word = self.mix((rolling[stop] - rolling[start]) * self.down[start])
+        word = self.ranges.load(data).hash(start, stop)
         sizes = np.array([len(text) + 1 for text in texts])
         bounds = np.searchsorted(start, np.concatenate([[0], np.cumsum(sizes)]))
         windows = np.zeros(max(0, len(word) - self.width + 1), np.uint64)
         for k in range(self.width):
-            windows = windows * _FACTOR + word[k : k + len(windows)]
-        windows = self.mix(windows)
+            windows = windows * FACTOR + word[k : k + len(windows)]
+        windows = mix(windows)
         out = []
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             if b - a >= self.width:
@@ -64,8 +48,8 @@ class Shingler:
             elif b > a:
                 whole = np.zeros(1, np.uint64)
                 for k in range(a, b):
-                    whole = whole * _FACTOR + word[k : k + 1]
-                out.append(self.mix(whole))
+                    whole = whole * FACTOR + word[k : k + 1]
+                out.append(mix(whole))
             else:
                 out.append(np.zeros(0, np.uint64))
         return out
