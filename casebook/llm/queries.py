@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from casebook.llm import bpe, fm_index, language, prefix_free, simhash, sketches, token_counts, token_store
+from casebook.llm import bpe, fm_index, language, perplexity, prefix_free, simhash, sketches, token_counts, token_store
 from casebook.llm.storage import shared_folder
 
 
@@ -38,6 +38,10 @@ def token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_store.token_checks(token_store.read_tokens(spark, files))
 
 
+def quality(spark: SparkSession, folder: str) -> DataFrame:
+    return perplexity.judge(_table(spark, folder, "documents"), _table(spark, folder, "labels")).drop("text_key")
+
+
 def simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": decontamination,
     "op5_token_counts": token_lengths,
     "op6_token_files": token_files,
+    "op7_quality": quality,
     "op8_simhash": simhash_groups,
     "op9_suffix_dedup": suffix_dedup,
     "op10_languages": languages,
