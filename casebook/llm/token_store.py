@@ -25,18 +25,19 @@ FRAME = 8192
 def _frame(values: np.ndarray) -> np.ndarray:
     """The words of one run of uint64 values, each word packing as many as fit."""
     n = len(values)
-    width, rest = np.ones(n, np.int64), values
+    width, rest = np.ones(n, np.uint8), values
     for step in (32, 16, 8, 4, 2, 1):
         high = rest >> np.uint64(step)
-        width += np.where(high != 0, step, 0)
+        width += np.where(high != 0, step, 0).astype(np.uint8)
         rest = np.where(high != 0, high, rest)
-    padded = np.concatenate([width, np.zeros(64, np.int64)])
+    padded = np.concatenate([width, np.zeros(64, np.uint8)])
     selector = np.zeros(n, np.int64)
     widest, reach = padded.copy(), 1
     for s in range(14, 0, -1):  # ascending counts: the last selector that fits packs most
         while reach < COUNTS[s]:
-            widest[: len(padded) - reach] = np.maximum(widest[: len(padded) - reach], padded[reach:])
-            reach += 1
+            step = min(reach, int(COUNTS[s]) - reach)
+            widest[:-step] = np.maximum(widest[:-step], widest[step:])
+            reach += step
         selector[widest[:n] <= WIDTHS[s]] = s
     steps, starts, at = COUNTS[selector].tolist(), [], 0
     while at < n:
@@ -98,12 +99,19 @@ def unpack(payload: bytes, frames: slice = slice(None)) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
-#: What the vocabulary's pattern makes of lower-case ASCII.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: Letters and other numerals below U+0250, whose classes and lower case are settled in every version of Unicode.
+_LETTERS, _NUMERALS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: What the vocabulary's pattern makes of lower-cased words in that range.
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMERALS}]|[^\\s{_LETTERS}{_NUMERALS}]+")
+_LATIN = re.compile("[\0-\u024f]*")
 
 
 class WordEncoder:
-    """Ids of whole texts under a tokenizers file that drops white space; any space is a safe boundary."""
+    """Ids of whole texts under a tokenizers file that drops white space and marks the last token of each piece.
+
+    Any space is a safe boundary. Words are cut into pieces, which repeat more often; unknown pieces go to the library
+    many at a time, parted by spaces, and come back apart by the tokens that end a piece. Words of other scripts and
+    those that hold a special string go to it as they are."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -113,20 +121,38 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces = Memo(self._encode, 800_000)
-        self.words = Memo(self._words)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith("</w>")]] = True
+        self.pieces = Memo(self._pieces, 1_200_000)
+        self.words = Memo(self._words, 300_000)
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        found = []
+        for at in range(0, len(pieces), 4000):
+            part = pieces[at : at + 4000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(stops) != len(part):  # the library cut a piece further: one by one then
+                found += self._whole(part)
+                continue
+            raw, last = ids.tobytes(), 0
+            for stop in stops.tolist():
+                found.append(raw[last:stop])
+                last = stop
+        return found
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[bytes]:
-        plain = [w.isascii() and w.isprintable() and not any(s in w for s in self.special) for w in words]
-        cut = [_PIECES.findall(w.lower()) if p else [w] for w, p in zip(words, plain, strict=True)]
+        plain = [w.isprintable() and (w.isascii() or _LATIN.fullmatch(w) is not None) and not any(s in w for s in self.special) for w in words]
+        rest = iter(self._whole([w for w, p in zip(words, plain, strict=True) if not p]))
+        cut = [_PIECES.findall(w.lower()) if p else () for w, p in zip(words, plain, strict=True)]
         known = self.pieces.ready({piece for pieces in cut for piece in pieces})
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        return [b"".join(map(known.__getitem__, pieces)) if p else next(rest) for pieces, p in zip(cut, plain, strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [[w for line in text.split("\n") for w in line.split(" ")] for text in texts]
+        cut = [text.replace("\n", " ").split(" ") for text in texts]
         known = self.words.ready({word for c in cut for word in c})
         return [b"".join(map(known.__getitem__, c)) for c in cut]
 
