@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from casebook.llm import bpe, fm_index, language, perplexity, prefix_free, simhash, sketches, token_counts, token_store
+from casebook.llm import bpe, fm_index, language, perplexity, prefix_free, simhash, sketches, token_counts, token_store, wrappers
 from casebook.llm.storage import shared_folder
 
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def page_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return wrappers.extract(_table(spark, folder, "pages"))
+
+
 def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return sketches.fingerprint_edits(_table(spark, folder, "documents"))
 
@@ -56,6 +60,7 @@ def languages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_page_texts": page_texts,
     "op2_fingerprints": fingerprints,
     "op3_byte_bpe": byte_bpe,
     "op4_decontamination": decontamination,
