@@ -187,7 +187,7 @@ class Shard:
                 total[left] += self.contexts.find(_hash(codes, place[left] + ORDER - length, length - 1))[1]
             else:
                 total[left] += self.unknown
-        return np.bincount(owner, total, len(texts)), sizes
+        return np.bincount(owner, total, len(texts)).astype(np.float64), sizes
 
 
 def shards(tables: Tables, most: int = SHARD) -> Iterator[Shard]:
@@ -239,7 +239,7 @@ def perplexities(docs: DataFrame, tables: Tables | None) -> DataFrame:
             for batch in batches:
                 scores = [sent.value.score(group) for group in _groups([t or "" for t in batch.column(3).to_pylist()])]
                 logs, sizes = (np.concatenate([s[i] for s in scores]) if scores else np.zeros(0) for i in range(2))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(logs), pa.array(sizes.astype(np.int64))], ["doc_id", "text_key", "lang", "log", "n"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(logs, pa.float64()), pa.array(sizes.astype(np.int64))], ["doc_id", "text_key", "lang", "log", "n"])
 
         kind = docs.schema["lang"].dataType.simpleString()
         part = rows.mapInArrow(score, f"doc_id long, text_key long, lang {kind}, log double, n long").withColumn("shard", F.lit(shard.number))
