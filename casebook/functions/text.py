@@ -30,7 +30,7 @@ def escape_literal(text: Column) -> Column:
 
 
 def word_pattern(term: Column) -> Column:
-    return F.concat(F.lit(r"\b"), escape_literal(term), F.lit(r"\b"))
+    return F.concat(F.lit(r"(?U)\b"), escape_literal(term), F.lit(r"\b"))
 
 
 def keyword_present(term: Column, text_lower: Column) -> Column:
@@ -45,7 +45,7 @@ def word_list_pattern(words) -> str:
     tokens = [w.replace("-", r"\-") for w in words if " " not in w]
     phrases = [w for w in words if " " in w]
     parts = [r"\b(?:" + "|".join(tokens) + r")\b"] if tokens else []
-    return "|".join(parts + phrases)
+    return "(?U)" + "|".join(parts + phrases)
 
 
 def mentions(text_lower: Column, words) -> Column:

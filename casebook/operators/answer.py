@@ -20,17 +20,17 @@ K = ["query_id", "patient_id"]
 
 # --- fixed values: value patterns, matched without regard to case -------------------------------
 _LABELLED = {
-    "dosage": r"(?i)(?:dosage|dose|strength)\s*:\s*([^\n\r]+)",
-    "physician_name": r"(?i)(?:prescribing (?:physician|doctor)|prescribed by|ordered by|physician|provider|doctor)"
+    "dosage": r"(?iU)(?:dosage|dose|strength)\s*:\s*([^\n\r]+)",
+    "physician_name": r"(?iU)(?:prescribing (?:physician|doctor)|prescribed by|ordered by|physician|provider|doctor)"
     r"\s*:\s*([^\n\r]+)",
-    "clinic": r"(?i)(?:clinic|facility|hospital|practice)\s*:\s*([^\n\r]+)",
-    "contact_number": r"(?i)(?:phone|tel|telephone|contact|fax)\s*(?:#|no\.?|number)?\s*:\s*([^\n\r]+)",
-    "frequency": r"(?i)(?:frequency|schedule)\s*:\s*([^\n\r]+)",
-    "status": r"(?i)\bstatus\s*:\s*([^\n\r]+)",
+    "clinic": r"(?iU)(?:clinic|facility|hospital|practice)\s*:\s*([^\n\r]+)",
+    "contact_number": r"(?iU)(?:phone|tel|telephone|contact|fax)\s*(?:#|no\.?|number)?\s*:\s*([^\n\r]+)",
+    "frequency": r"(?iU)(?:frequency|schedule)\s*:\s*([^\n\r]+)",
+    "status": r"(?iU)\bstatus\s*:\s*([^\n\r]+)",
 }
 _UNLABELLED = {
-    "dosage": r"(?i)\b(\d+(?:\.\d+)?\s*(?:mg|mcg|g|ml)\b[^\n\r,.]*)",
-    "physician_name": r"(?i)\b(dr\.?\s+[a-z]+(?:\s+[a-z]+){0,2}(?:,\s*md)?)\b",
+    "dosage": r"(?iU)\b(\d+(?:\.\d+)?\s*(?:mg|mcg|g|ml)\b[^\n\r,.]*)",
+    "physician_name": r"(?iU)\b(dr\.?\s+[a-z]+(?:\s+[a-z]+){0,2}(?:,\s*md)?)\b",
 }
 _PARENTHESISED = ("physician_name", "clinic")
 
@@ -197,8 +197,13 @@ class InquiryJob:
         return citations(self.evidence, self.records, self.details)
 
 
+def refused(inquiries: DataFrame) -> DataFrame:
+    """Requests that fail validation, with the reason; they are answered by it alone."""
+    return inquiries.withColumn("error", validation_error(F.col("query_text"))).where(F.col("error").isNotNull())
+
+
 def gate(inquiries: DataFrame) -> DataFrame:
-    """Annotated inquiries with the safety flag; refused requests are left out."""
+    """Accepted inquiries, annotated, with the safety flag."""
     accepted = inquiries.where(validation_error(F.col("query_text")).isNull())
     # Questions are short, matching them against the word lists is not: one small shuffle evens it out.
     return annotate(spread(accepted, *K)).withColumn("safety_triggered", safety_triggered(F.col("query_text")))
@@ -208,6 +213,8 @@ def answer_inquiries(inquiries: DataFrame, tables, top_k: int | None = None,
                      rows_per_salt: int = ROWS_PER_SALT) -> InquiryJob:
     """Safety, understanding, retrieval, evidence, answer and citations for a table of inquiries.
 
+    ``results`` has one row per inquiry; one that is refused has its reason in ``error`` and no answer.
+
     ``tables`` exposes the record, document, extraction and chunk tables. Targets and retrieved
     passages feed several branches, so each is written once.
     """
@@ -247,5 +254,6 @@ def answer_inquiries(inquiries: DataFrame, tables, top_k: int | None = None,
         *K, "query_text", "routing_mode", "safety_triggered",
         (~F.col("safety_triggered") & F.col("clarification_required")).alias("clarification_required"),
     )
-    results = flags.join(spoken.unionByName(short), K)
+    answered = flags.join(spoken.unionByName(short), K).withColumn("error", F.lit(None).cast("string"))
+    results = answered.unionByName(refused(inquiries).select(*K, "query_text", "error"), allowMissingColumns=True)
     return InquiryJob(lean, results, evidence, passages, records, details)

@@ -15,6 +15,16 @@ FIELDS = (
     "biological_sex", "height_cm", "blood_group", "verification_state", "source_type",
 )
 MUTABLE_DOCUMENT_COLUMNS = ("display_name", "document_type", "document_date", "notes")
+
+#: What a client may change of each record type; the origin of a record is resolved by the server.
+MUTABLE_RECORD_COLUMNS = {
+    "conditions": ("name", "status", "is_chronic", "started_at", "ended_at", "notes"),
+    "medications": ("name", "dosage", "frequency", "status", "as_needed", "started_at", "ended_at", "notes"),
+    "allergies": ("allergen", "reaction", "severity", "notes"),
+    "symptoms": ("name", "severity", "started_at", "ended_at", "notes"),
+    "patient_goals": ("description", "status", "target_date", "notes"),
+}
+PROVENANCE_COLUMNS = ("source_type", "source_id", "verification_state")
 PROFILE_COLUMNS = ("date_of_birth", "biological_sex", "height_cm", "blood_group", "notes")
 CHILD_TABLES = (
     "health_profiles", "conditions", "symptoms", "medications", "allergies", "patient_goals",
@@ -94,6 +104,22 @@ def apply_changes(
     )
 
 
+def patch_records(table: DataFrame, changes: DataFrame, kind: str, provenance: DataFrame | None = None) -> DataFrame:
+    """Partial update of one record type: only its own mutable columns named in ``supplied`` change.
+
+    ``provenance`` (id, patient_id, source_type, source_id, verification_state, violation) is the resolved origin of
+    each change; it is written along, and a change with a violation leaves its record as it was.
+    """
+    allowed = MUTABLE_RECORD_COLUMNS[kind]
+    if provenance is not None:
+        sound = provenance.where("violation IS NULL").select("id", "patient_id", *PROVENANCE_COLUMNS)
+        changes = changes.drop(*PROVENANCE_COLUMNS).join(sound, ["id", "patient_id"]).withColumn(
+            "supplied", F.concat("supplied", F.array(*map(F.lit, PROVENANCE_COLUMNS)))
+        )
+        allowed += PROVENANCE_COLUMNS
+    return apply_changes(table, changes, allowed)
+
+
 def latest_per_key(existing: DataFrame, arrived: DataFrame, key: str, order: str) -> DataFrame:
     """Idempotent replace: one row per key, the latest arrival; ties keep the arrived row.
 

@@ -28,7 +28,7 @@ def entity(q: Column) -> Column:
 
 
 def is_consultation_timeline(q: Column) -> Column:
-    return q.contains("consultation") & (q.rlike(r"\bwhen\b") | q.contains("timeline"))
+    return q.contains("consultation") & (q.rlike(r"(?U)\bwhen\b") | q.contains("timeline"))
 
 
 def domain_rules(q: Column, found: Column) -> list[tuple[Column, tuple, tuple]]:
@@ -95,7 +95,7 @@ def superlative(q: Column) -> Column:
     """latest / first; relative spans such as "past 3 months" do not count as recency."""
     masked = F.regexp_replace(q, lx.RELATIVE_SPAN, " ")
     return F.when(
-        tx.mentions(masked, lx.LATEST_WORDS) | masked.rlike(r"\blast\b") | masked.rlike(r"\brecent\b"), "latest"
+        tx.mentions(masked, lx.LATEST_WORDS) | masked.rlike(r"(?U)\blast\b") | masked.rlike(r"(?U)\brecent\b"), "latest"
     ).when(tx.mentions(q, lx.FIRST_WORDS), "first")
 
 
@@ -182,7 +182,7 @@ def categorical_scope(q: Column, has_superlative: Column) -> Column:
     """current / historical / all when the question names no interval."""
     event_words = tx.mentions(q, lx.TIMELINE + lx.EVENT) | is_consultation_timeline(q)
     current = tx.mentions(q, lx.CURRENT_WORDS)
-    says_have = F.array_contains(F.split(q, r"\s+"), "have")
+    says_have = F.array_contains(F.split(q, r"(?U)\s+"), "have")
     with_superlative = F.when(tx.mentions(q, lx.HISTORICAL_WITH_SUPERLATIVE), "historical").otherwise("all")
     plain = (
         F.when(tx.mentions(q, lx.HISTORICAL_WORDS), F.when(event_words, "all").otherwise("historical"))
@@ -193,12 +193,12 @@ def categorical_scope(q: Column, has_superlative: Column) -> Column:
 
 
 def is_comparison(q: Column) -> Column:
-    return q.rlike("|".join(lx.COMPARISON))
+    return q.rlike("(?Ud)" + "|".join(lx.COMPARISON))
 
 
 def safety_triggered(text: Column) -> Column:
     """Any acute-symptom pattern, ignoring case; a dot stops at line feeds only."""
-    return text.rlike("(?id)" + "|".join(lx.SAFETY))
+    return text.rlike("(?idU)" + "|".join(lx.SAFETY))
 
 
 def validation_error(text: Column) -> Column:

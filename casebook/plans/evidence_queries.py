@@ -374,7 +374,7 @@ structured_verdicts AS (
       WHEN len(miss) > 0 OR len(coalesce(caveats, [])) > 0 THEN 'PARTIALLY_SUFFICIENT' ELSE 'SUFFICIENT' END AS status,
     CASE WHEN n_domains = 1 THEN only_matched ELSE m END AS matched, CASE WHEN n_domains = 1 THEN only_missing ELSE miss END AS missing,
     CASE WHEN n_domains = 1 THEN only_directive
-      WHEN len(miss) > 0 AND NOT (target_entity IS NOT NULL AND n_ok = 0) OR len(coalesce(caveats, [])) > 0 THEN concat_ws(' ',
+      WHEN len(miss) > 0 OR len(coalesce(caveats, [])) > 0 THEN concat_ws(' ',
         CASE WHEN len(miss) > 0 THEN CASE WHEN target_entity IS NOT NULL
           THEN concat(target_entity, ' is recorded, but not found in records: ', {_label('miss')}, '.')
           ELSE concat('Information partially found. Not found: ', {_label('miss')}, '.') END END, nullif(array_to_string(caveats, ' '), ''))

@@ -159,7 +159,7 @@ def document_pieces(t):
     ),
 )
 def chunk_replace(t):
-    looked_at = t.table("labels").selectExpr("doc_id AS document_id", "doc_id % 50 AS patient_id", "quality")
+    looked_at = t.table("labels").selectExpr("doc_id AS document_id", f"{t.tenant('doc_id')} AS patient_id", "quality")
     fresh = looked_at.where("quality = 1").selectExpr(
         "document_id", "patient_id", "document_id * 100000L AS id", "0 AS chunk_index", "'fresh text' AS chunk_text"
     )

@@ -25,6 +25,9 @@ def _template_rows() -> str:
     return ",\n".join(rows)
 
 
+#: The oracle's own statement of how many customers hold documents.
+TENANTS = "(SELECT greatest(50, count(*) // 30) FROM customer)"
+
 VIEWS = f"""
 patients AS (SELECT c_custkey AS patient_id, c_custkey AS user_id FROM customer),
 health_profiles AS (
@@ -45,7 +48,7 @@ conditions AS (
     o_orderdate AS recorded_at, o_orderdate AS created_at,
     CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS notes,
     CASE WHEN o_orderkey % 4 = 0 THEN 'SOURCE_DOCUMENT' ELSE 'PATIENT_REPORTED' END AS source_type,
-    CASE WHEN o_orderkey % 4 = 0 THEN o_custkey + 50 * (o_orderkey % 20) END AS source_id,
+    CASE WHEN o_orderkey % 4 = 0 THEN o_custkey - 1 + {TENANTS} * (o_orderkey % 20) END AS source_id,
     CASE WHEN o_orderkey % 4 = 0 THEN 'SOURCE_RECORDED' ELSE 'PATIENT_REPORTED' END AS verification_state
   FROM orders),
 numbered_lines AS (
@@ -71,7 +74,7 @@ symptoms AS (
     ts AS recorded_at, ts AS created_at,
     CASE WHEN event_id % 6 = 0 THEN concat('seen ', event_type) END AS notes FROM events),
 allergies AS (
-  SELECT p_partkey AS id, p_partkey % 50 AS patient_id,
+  SELECT p_partkey AS id, 1 + p_partkey % {TENANTS} AS patient_id,
     CASE p_partkey % 7 WHEN 0 THEN 'Peanut' WHEN 1 THEN 'Penicillin' WHEN 2 THEN 'Latex' ELSE p_type END AS allergen,
     CASE WHEN p_size % 3 = 0 THEN 'hives' END AS reaction,
     CASE p_size % 5 WHEN 1 THEN 'mild' WHEN 2 THEN 'moderate' WHEN 3 THEN 'severe'
@@ -85,16 +88,16 @@ patient_goals AS (
     CAST(o_orderdate AS DATE) + 180 AS target_date, o_orderdate AS recorded_at, o_orderdate AS created_at,
     NULL::VARCHAR AS notes FROM orders WHERE o_orderstatus = 'P'),
 medical_documents AS (
-  SELECT doc_id AS id, doc_id % 50 AS patient_id, concat('doc-', doc_id, '.pdf') AS file_name,
+  SELECT doc_id AS id, 1 + doc_id % {TENANTS} AS patient_id, concat('doc-', doc_id, '.pdf') AS file_name,
     concat('doc-', doc_id) AS display_name,
-    CASE (doc_id // 50) % 6 WHEN 0 THEN 'lab_report' WHEN 1 THEN 'prescription' WHEN 2 THEN 'diagnostic_report'
+    CASE (doc_id // {TENANTS}) % 6 WHEN 0 THEN 'lab_report' WHEN 1 THEN 'prescription' WHEN 2 THEN 'diagnostic_report'
       WHEN 3 THEN 'discharge_summary' WHEN 4 THEN 'medical_record' WHEN 5 THEN 'other' END AS document_type,
     CASE WHEN doc_id % 7 <> 0 THEN DATE '2020-01-01' + CAST(doc_id * 37 % 2000 AS INTEGER) END AS document_date,
     CAST(DATE '2020-01-01' + CAST(doc_id % 2000 AS INTEGER) AS TIMESTAMP) AS uploaded_at,
     CAST(DATE '2020-01-01' + CAST(doc_id % 2000 AS INTEGER) AS TIMESTAMP) AS created_at,
     CASE WHEN doc_id % 9 = 0 THEN concat('from ', source) END AS notes FROM documents),
 document_extractions AS (
-  SELECT doc_id AS document_id, doc_id % 50 AS patient_id,
+  SELECT doc_id AS document_id, 1 + doc_id % {TENANTS} AS patient_id,
     CASE WHEN doc_id % 13 = 0 THEN 'FAILED' WHEN doc_id % 17 = 0 THEN 'UNSUPPORTED' ELSE 'COMPLETED' END
       AS extraction_status,
     CASE WHEN doc_id % 13 <> 0 AND doc_id % 17 <> 0 THEN text END AS extracted_text,
@@ -103,9 +106,9 @@ chunk_pieces AS (
   SELECT doc_id, text, unnest(range(0, CAST(greatest(ceil(length(text) / 900.0), 1) AS BIGINT))) AS chunk_index
   FROM documents),
 document_chunks AS (
-  SELECT doc_id * 100000 + chunk_index AS id, doc_id AS document_id, doc_id % 50 AS patient_id, chunk_index,
+  SELECT doc_id * 100000 + chunk_index AS id, doc_id AS document_id, 1 + doc_id % {TENANTS} AS patient_id, chunk_index,
     CASE WHEN doc_id % 2 = 0 THEN 1 + chunk_index // 2 END AS page_number,
-    concat(substr(text, chunk_index * 900 + 1, 900), CASE ((doc_id // 50) + chunk_index) % 5
+    concat(substr(text, chunk_index * 900 + 1, 900), CASE ((doc_id // {TENANTS}) + chunk_index) % 5
       WHEN 0 THEN ' Lisinopril. Dosage: 10 mg daily. Prescribed by: Dr. Jordan Casey'
       WHEN 1 THEN ' Total cholesterol 180 mg/dL. LDL 100. HDL 50.'
       WHEN 2 THEN ' BP 120/80, pulse 70. Blood pressure noted. Hypertension follow-up.'
@@ -117,8 +120,8 @@ templates(template_no, query_text, structured_domains, document_domains, target_
 VALUES {_template_rows()}),
 targets AS (
   SELECT c_custkey * 1000 + template_no AS query_id, c_custkey AS patient_id, t.*, e.embedding AS query_vec
-  FROM customer JOIN templates t ON (template_no + c_custkey) % 4 = 0
-  LEFT JOIN embeddings e ON vec_id = (template_no * 7 + c_custkey) % 100),
+  FROM customer CROSS JOIN templates t
+  LEFT JOIN embeddings e ON vec_id = (template_no * 7 + c_custkey) % (SELECT count(*) FROM embeddings)),
 timeline_events AS (
   SELECT patient_id, strftime(started_at, '%Y-%m-%d') AS event_date, 'CONDITION_STARTED' AS event_type,
     CASE WHEN status = 'active' THEN 'current' ELSE 'historical' END AS event_state, name AS title,

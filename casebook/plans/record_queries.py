@@ -9,7 +9,7 @@ from casebook.functions.skew import rank_within
 from casebook.operators import quality as ql
 from casebook.operators import records as rc
 from casebook.operators import timeline as tl
-from casebook.plans.oracle_views import over_views
+from casebook.plans.oracle_views import TENANTS, over_views
 from casebook.plans.registry import query
 
 _EVENT = "patient_id, event_date, event_type, event_state, title, description, source_type, source_id"
@@ -138,7 +138,7 @@ FROM medical_documents d LEFT JOIN labels l ON l.doc_id = d.id"""
 )
 def document_patch(t):
     changes = t.table("labels").selectExpr(
-        "doc_id AS id", "doc_id % 50 AS patient_id", "concat('renamed ', doc_id) AS display_name",
+        "doc_id AS id", f"{t.tenant('doc_id')} AS patient_id", "concat('renamed ', doc_id) AS display_name",
         "'other' AS document_type", "'hidden.pdf' AS file_name",
         "array_compact(array(CASE WHEN quality = 1 THEN 'display_name' END, CASE WHEN toxic = 1 THEN 'document_type' END,"
         " 'file_name')) AS supplied",
@@ -148,6 +148,48 @@ def document_patch(t):
     )
 
 
+#: Per record type: the column a toxic label changes, and to what.
+_PATCHED = {
+    "conditions": ("status", "resolved"),
+    "medications": ("status", "stopped"),
+    "allergies": ("severity", "mild"),
+    "symptoms": ("severity", "mild"),
+    "patient_goals": ("status", "abandoned"),
+}
+_PATCH_SQL = " UNION ALL ".join(
+    f"""SELECT '{kind}' AS kind, CAST(x.id AS VARCHAR) AS id, CASE WHEN a.toxic = 1 THEN '{value}' ELSE x.{column} END AS state,
+  CASE WHEN a.first_doc IS NOT NULL THEN concat('note ', a.first_doc) ELSE x.notes END AS notes,
+  CAST(CAST(x.created_at AS DATE) AS VARCHAR) AS created_on
+FROM {kind} x LEFT JOIN (SELECT 1 + doc_id % {TENANTS} AS patient_id, min(doc_id) AS first_doc, max(toxic) AS toxic
+  FROM labels GROUP BY ALL) a ON a.patient_id = x.patient_id"""
+    for kind, (column, value) in _PATCHED.items()
+)
+
+
+@query("record_patches", over_views(_PATCH_SQL))
+def record_patches(t):
+    """Each labelled tenant's records get a note and some a new state; the creation time can't be changed."""
+    asked = (
+        t.table("labels")
+        .selectExpr(f"{t.tenant('doc_id')} AS patient_id", "doc_id", "toxic")
+        .groupBy("patient_id")
+        .agg(F.min("doc_id").alias("first_doc"), F.max("toxic").alias("toxic"))
+    )
+    out = None
+    for kind, (column, value) in _PATCHED.items():
+        table = getattr(t, kind)
+        changes = table.select("id", "patient_id").join(asked, "patient_id").selectExpr(
+            "id", "patient_id", "concat('note ', first_doc) AS notes", f"'{value}' AS {column}", "TIMESTAMP'1999-01-01 00:00:00' AS created_at",
+            f"array_compact(array('notes', 'created_at', CASE WHEN toxic = 1 THEN '{column}' END)) AS supplied",
+        )
+        part = rc.patch_records(table, changes, kind).select(
+            F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"), F.col(column).alias("state"), "notes",
+            F.col("created_at").cast("date").cast("string").alias("created_on"),
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query(
     "extraction_replace",
     over_views(
@@ -158,7 +200,7 @@ FROM document_extractions e LEFT JOIN labels l ON l.doc_id = e.document_id"""
 )
 def extraction_replace(t):
     arrived = t.table("labels").selectExpr(
-        "doc_id AS document_id", "doc_id % 50 AS patient_id",
+        "doc_id AS document_id", f"{t.tenant('doc_id')} AS patient_id",
         "CASE WHEN quality = 1 THEN 'COMPLETED' ELSE 'FAILED' END AS extraction_status",
         "CASE WHEN quality = 1 THEN 'text' END AS extracted_text", "'rerun' AS extraction_method",
         "'v2' AS extraction_version", "TIMESTAMP'2030-01-01 00:00:00' AS extracted_at", "CAST(NULL AS STRING) AS error_message",
@@ -186,7 +228,7 @@ _GONE = "(SELECT doc_id FROM labels WHERE toxic = 1)"
     ),
 )
 def document_delete_cascade(t):
-    gone = t.table("labels").where("toxic = 1").selectExpr("doc_id AS document_id", "doc_id % 50 AS patient_id")
+    gone = t.table("labels").where("toxic = 1").selectExpr("doc_id AS document_id", f"{t.tenant('doc_id')} AS patient_id")
     names = ("medical_documents", "document_extractions", "document_chunks", "conditions")
     left = rc.delete_documents({n: getattr(t, n) for n in names}, gone)
     out = None
@@ -255,14 +297,14 @@ def _provenance_changes(t):
         "o_orderkey % 5 < 3 AS has_source_type", "o_orderkey % 7 < 4 AS has_source_id",
         "CASE WHEN o_orderkey % 5 = 0 THEN 'SOURCE_DOCUMENT' WHEN o_orderkey % 5 = 1 THEN 'PATIENT_REPORTED'"
         " WHEN o_orderkey % 35 = 2 THEN 'CLINICIAN_CONFIRMED' WHEN o_orderkey % 5 = 2 THEN 'IMPORTED' END AS source_type",
-        "CASE WHEN o_orderkey % 7 < 3 THEN o_custkey + 50 * (o_orderkey % 11) END AS source_id",
+        f"CASE WHEN o_orderkey % 7 < 3 THEN o_custkey - 1 + {t.tenants} * (o_orderkey % 11) END AS source_id",
         "CASE WHEN o_orderkey % 2 = 0 THEN 'SOURCE_DOCUMENT' ELSE 'PATIENT_REPORTED' END AS old_source_type",
-        "CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS old_source_id",
+        "CASE WHEN o_orderkey % 2 = 0 THEN o_custkey - 1 END AS old_source_id",
         "CASE WHEN o_orderkey % 41 = 0 THEN 'AI_DERIVED' END AS sent_verification_state",
     )
 
 
-_PROVENANCE_SQL = """
+_PROVENANCE_SQL = f"""
 SELECT record_id, CASE WHEN violation IS NULL THEN k END AS source_type, CASE WHEN violation IS NULL THEN s END AS source_id,
   CASE WHEN violation IS NULL THEN CASE k WHEN 'PATIENT_REPORTED' THEN 'PATIENT_REPORTED' ELSE 'SOURCE_RECORDED' END END
     AS verification_state, violation
@@ -274,7 +316,7 @@ FROM (SELECT *, CASE
     WHEN k = 'SOURCE_DOCUMENT' AND s IS NULL THEN 'source_id is required when source_type is SOURCE_DOCUMENT.'
     WHEN k IS NULL OR k NOT IN ('PATIENT_REPORTED', 'SOURCE_DOCUMENT')
       THEN concat('Unsupported source_type value: ''', coalesce(k, 'None'), '''.')
-    WHEN s IS NOT NULL AND (doc_id IS NULL OR doc_id % 50 <> patient_id)
+    WHEN s IS NOT NULL AND (doc_id IS NULL OR 1 + doc_id % {TENANTS} <> patient_id)
       THEN 'source_id does not reference a valid document owned by this patient.' END AS violation
   FROM (SELECT *, CASE WHEN same THEN old_st WHEN mk THEN coalesce(st, 'PATIENT_REPORTED') WHEN hst THEN st ELSE old_st END AS k,
       CASE WHEN same THEN old_s WHEN mk OR hs THEN sid ELSE old_s END AS s
@@ -283,13 +325,29 @@ FROM (SELECT *, CASE
         o_orderkey % 7 < 4 AS hs,
         CASE WHEN o_orderkey % 5 = 0 THEN 'SOURCE_DOCUMENT' WHEN o_orderkey % 5 = 1 THEN 'PATIENT_REPORTED'
           WHEN o_orderkey % 35 = 2 THEN 'CLINICIAN_CONFIRMED' WHEN o_orderkey % 5 = 2 THEN 'IMPORTED' END AS st,
-        CASE WHEN o_orderkey % 7 < 3 THEN o_custkey + 50 * (o_orderkey % 11) END AS sid,
+        CASE WHEN o_orderkey % 7 < 3 THEN o_custkey - 1 + {TENANTS} * (o_orderkey % 11) END AS sid,
         CASE WHEN o_orderkey % 2 = 0 THEN 'SOURCE_DOCUMENT' ELSE 'PATIENT_REPORTED' END AS old_st,
-        CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS old_s,
+        CASE WHEN o_orderkey % 2 = 0 THEN o_custkey - 1 END AS old_s,
         CASE WHEN o_orderkey % 41 = 0 THEN 'AI_DERIVED' END AS sent FROM orders)))
   LEFT JOIN documents ON doc_id = s)"""
 
 
+@query(
+    "document_payloads",
+    """SELECT doc_id, CASE WHEN len(locked) > 0 THEN concat('Medical document payloads must not include provenance fields: ',
+    array_to_string(locked, ', '), '. These values are locked server-side.') END AS violation
+FROM (SELECT doc_id, list_filter([CASE WHEN doc_id % 7 = 0 THEN 'source_id' END, CASE WHEN doc_id % 3 = 0 THEN 'source_type' END,
+    CASE WHEN doc_id % 5 = 0 THEN 'verification_state' END], lambda f: f IS NOT NULL) AS locked FROM documents)""",
+)
+def document_payloads(t):
+    sent = t.documents.selectExpr(
+        "doc_id",
+        "array_compact(array('display_name', CASE WHEN doc_id % 5 = 0 THEN 'verification_state' END,"
+        " CASE WHEN doc_id % 3 = 0 THEN 'source_type' END, CASE WHEN doc_id % 7 = 0 THEN 'source_id' END)) AS fields",
+    )
+    return ql.document_payload_violation(sent).select("doc_id", "violation")
+
+
 @query("provenance_resolution", _PROVENANCE_SQL)
 def provenance_resolution(t):
     return ql.resolve_provenance(_provenance_changes(t), t.medical_documents).drop("patient_id")

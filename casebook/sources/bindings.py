@@ -25,8 +25,8 @@ SUFFIXES = (
     "",
 )
 
-#: Documents belong to this many tenants, so tenants grow with the corpus and stay skewed.
-DOCUMENT_TENANTS = 50
+#: Tenants who hold documents: one customer in so many, but never fewer than the least.
+CUSTOMERS_PER_TENANT, LEAST_TENANTS = 30, 50
 
 _DOC_TYPES = (
     "lab_report", "prescription", "diagnostic_report", "discharge_summary", "medical_record", "other",
@@ -45,10 +45,16 @@ class Bindings:
 
     @cached_property
     def documents(self) -> DataFrame:
-        """Document texts; when they come in fewer files than there are task slots, spread over the slots."""
-        rows = self.table("documents")
-        slots = self.spark.sparkContext.defaultParallelism
-        return rows.repartition(slots, "doc_id") if len(rows.inputFiles()) < slots else rows
+        return self.table("documents")
+
+    @cached_property
+    def tenants(self) -> int:
+        """How many customers hold documents; it grows with the customers."""
+        return max(LEAST_TENANTS, self.table("customer").count() // CUSTOMERS_PER_TENANT)
+
+    def tenant(self, number: str) -> str:
+        """The customer whom a numbered thing belongs to."""
+        return f"1 + {number} % {self.tenants}"
 
     @cached_property
     def patients(self) -> DataFrame:
@@ -84,7 +90,7 @@ class Bindings:
             "CAST(o_orderdate AS TIMESTAMP) AS created_at",
             "CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS notes",
             "CASE WHEN o_orderkey % 4 = 0 THEN 'SOURCE_DOCUMENT' ELSE 'PATIENT_REPORTED' END AS source_type",
-            "CASE WHEN o_orderkey % 4 = 0 THEN o_custkey + 50 * (o_orderkey % 20) END AS source_id",
+            f"CASE WHEN o_orderkey % 4 = 0 THEN o_custkey - 1 + {self.tenants} * (o_orderkey % 20) END AS source_id",
             "CASE WHEN o_orderkey % 4 = 0 THEN 'SOURCE_RECORDED' ELSE 'PATIENT_REPORTED' END"
             " AS verification_state",
         )
@@ -148,7 +154,7 @@ class Bindings:
         recorded = "CAST(date_add(DATE'2020-01-01', CAST(p_partkey % 1500 AS INT)) AS TIMESTAMP)"
         return self.table("part").selectExpr(
             "p_partkey AS id",
-            "p_partkey % 50 AS patient_id",
+            f"{self.tenant('p_partkey')} AS patient_id",
             "CASE p_partkey % 7 WHEN 0 THEN 'Peanut' WHEN 1 THEN 'Penicillin' WHEN 2 THEN 'Latex'"
             " ELSE p_type END AS allergen",
             "CASE WHEN p_size % 3 = 0 THEN 'hives' END AS reaction",
@@ -184,13 +190,13 @@ class Bindings:
         uploaded = "CAST(date_add(DATE'2020-01-01', CAST(doc_id % 2000 AS INT)) AS TIMESTAMP)"
         return self.documents.selectExpr(
             "doc_id AS id",
-            f"doc_id % {DOCUMENT_TENANTS} AS patient_id",
+            f"{self.tenant('doc_id')} AS patient_id",
             "concat('doc-', doc_id, '.pdf') AS file_name",
             "concat('doc-', doc_id) AS display_name",
-            f"CASE (doc_id div {DOCUMENT_TENANTS}) % 6 {kinds} END AS document_type",
+            f"CASE (doc_id div {self.tenants}) % 6 {kinds} END AS document_type",
             "'application/pdf' AS content_type",
             "CAST(n_chars AS BIGINT) AS file_size_bytes",
-            f"concat('documents/', doc_id % {DOCUMENT_TENANTS}, '/', doc_id) AS storage_key",
+            f"concat('documents/', {self.tenant('doc_id')}, '/', doc_id) AS storage_key",
             "CASE WHEN doc_id % 7 <> 0 THEN date_add(DATE'2020-01-01', CAST(doc_id * 37 % 2000 AS INT)) END"
             " AS document_date",
             f"{uploaded} AS uploaded_at",
@@ -208,7 +214,7 @@ class Bindings:
         )
         return self.documents.selectExpr(
             "doc_id AS document_id",
-            f"doc_id % {DOCUMENT_TENANTS} AS patient_id",
+            f"{self.tenant('doc_id')} AS patient_id",
             f"{status} AS extraction_status",
             f"CASE WHEN {status} = 'COMPLETED' THEN text END AS extracted_text",
             "CASE WHEN doc_id % 2 = 0 THEN 'pypdf' ELSE 'text/plain' END AS extraction_method",
@@ -226,12 +232,12 @@ class Bindings:
             f"explode(sequence(0, CAST(greatest(ceil(length(text) / {CHUNK_WIDTH}.0), 1) AS INT) - 1))"
             " AS chunk_index",
         )
-        which = f"((doc_id div {DOCUMENT_TENANTS}) + chunk_index) % 5"
+        which = f"((doc_id div {self.tenants}) + chunk_index) % 5"
         suffix = " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(SUFFIXES))
         chunks = pieces.selectExpr(
             "doc_id * 100000 + chunk_index AS id",
             "doc_id AS document_id",
-            f"doc_id % {DOCUMENT_TENANTS} AS patient_id",
+            f"{self.tenant('doc_id')} AS patient_id",
             "chunk_index",
             "CASE WHEN doc_id % 2 = 0 THEN 1 + chunk_index div 2 END AS page_number",
             f"concat(substr(text, chunk_index * {CHUNK_WIDTH} + 1, {CHUNK_WIDTH}), CASE {which} {suffix} END)"
@@ -243,7 +249,7 @@ class Bindings:
 
     @cached_property
     def inquiries(self) -> DataFrame:
-        """Each customer asks every fourth question template, offset by the customer key."""
+        """Every customer asks every question template; question vectors are dealt over all stored ones."""
         questions = F.array(
             *[
                 F.struct(F.lit(number).alias("template_no"), F.lit(t.text).alias("query_text"))
@@ -253,14 +259,13 @@ class Bindings:
         asked = (
             self.table("customer")
             .select(F.col("c_custkey").alias("patient_id"), F.explode(questions).alias("q"))
-            .where("(q.template_no + patient_id) % 4 = 0")
             .selectExpr(
                 "patient_id * 1000 + q.template_no AS query_id",
                 "patient_id",
                 "q.template_no AS template_no",
                 "q.query_text AS query_text",
                 "DATE'2026-09-24' AS ref_date",
-                "(q.template_no * 7 + patient_id) % 100 AS vec_id",
+                f"(q.template_no * 7 + patient_id) % {self.table('embeddings').count()} AS vec_id",
             )
         )
         vectors = self.table("embeddings").selectExpr("vec_id", "embedding AS query_vec")
@@ -271,7 +276,7 @@ class Bindings:
         """Every conversation turn as an inquiry, whole text, any role."""
         return self.table("conversations").selectExpr(
             "conv_id * 1000 + turn AS query_id",
-            "conv_id % 50 AS patient_id",
+            f"{self.tenant('conv_id')} AS patient_id",
             "text AS query_text",
             "DATE'2026-09-24' AS ref_date",
         )
