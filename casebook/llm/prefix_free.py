@@ -183,43 +183,52 @@ def equal_windows(buffer: np.ndarray, at: np.ndarray) -> np.ndarray:
     return rank[at]
 
 
-def _compare(groups: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    """Runs of windows of dictionary phrases (doc, start, bytes) that stand earlier in another phrase."""
-    buffer = np.frombuffer(b"".join(g[2] for g in groups), np.uint8)
-    size = np.array([len(g[2]) for g in groups])
-    base, many = np.cumsum(size) - size, size - LENGTH + 1
-    phrase = np.repeat(np.arange(len(groups)), many)
-    inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    rank = equal_windows(buffer, base[phrase] + inner)
-    doc = np.array([g[0] for g in groups], np.int64)[phrase]
-    start = np.array([g[1] for g in groups], np.int64)[phrase] + inner
-    order = np.lexsort((start, doc, rank))
-    again = np.zeros(len(order), bool)
-    again[order[1:]] = rank[order[1:]] == rank[order[:-1]]
-    opens = again & ~np.append(False, again[:-1] & (phrase[1:] == phrase[:-1]))
-    closes = again & ~np.append(again[1:] & (phrase[1:] == phrase[:-1]), False)
-    first, last = np.flatnonzero(opens), np.flatnonzero(closes)
-    ranges = Ranges().load(buffer)
-    here = (base[phrase] + inner)[first]
-    hashed = ranges.hash(here, here + last - first + LENGTH)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(doc[first]), pa.array(start[first] << 10 | last - first + 1), pa.array(hashed.view(np.int64))], ["doc", "place", "hash"]
-    )
+class _Windows:
+    """The windows of phrases (doc, place, bytes): where they stand in the corpus and in a buffer, and which of them
+    stand earlier in another of these phrases."""
+
+    def __init__(self, doc: list[int], place: list[int], content: list[bytes]):
+        self.buffer = np.frombuffer(b"".join(content), np.uint8)
+        size = np.array([len(c) for c in content], np.int64)
+        many = size - LENGTH + 1
+        self.phrase = np.repeat(np.arange(len(content)), many)
+        inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        self.here = (np.cumsum(size) - size)[self.phrase] + inner
+        self.doc = np.array(doc, np.int64)[self.phrase]
+        self.start = (np.array(place, np.int64) >> 10)[self.phrase] + inner
+        rank = equal_windows(self.buffer, self.here)
+        order = np.lexsort((self.start, self.doc, rank))
+        self.again = np.zeros(len(order), bool)
+        self.again[order[1:]] = rank[order[1:]] == rank[order[:-1]]
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """doc, place and hash of the runs of windows that stand earlier."""
+        joined = self.again[1:] & self.again[:-1] & (self.phrase[1:] == self.phrase[:-1])
+        first = np.flatnonzero(self.again & ~np.append(False, joined))
+        last = np.flatnonzero(self.again & ~np.append(joined, False))
+        here = self.here[first]
+        hashed = Ranges().load(self.buffer).hash(here, here + last - first + LENGTH)
+        return self.doc[first], self.start[first] << 10 | last - first + 1, hashed.view(np.int64)
 
 
 def _sort_dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Phrases ordered by trigger; suffix arrays are built over whole triggers, some megabytes at a time."""
+
+
+    def marks(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*map(pa.array, _Windows(*zip(*rows, strict=True)).runs())], ["doc", "place", "hash"])
+
     held, size, current = [], 0, None
     for batch in batches:
         for key, doc, place, content in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             if key != current and size > CHUNK:
-                yield _compare(held)
+                yield marks(held)
                 held, size = [], 0
             current = key
-            held.append((doc, place >> 10, content))
+            held.append((doc, place, content))
             size += len(content)
     if held:
-        yield _compare(held)
+        yield marks(held)
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,23 +248,25 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A 128-bit digest of every window of phrases (key, doc, place, content)."""
+    """A 128-bit digest of each distinct window of phrases (key, doc, place, content), at its first place in a part of
+    the phrases; what stands earlier in the part is settled (low is null)."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 5000):
-            part = batch.slice(at, 5000)
-            content = part.column(3).to_pylist()
-            buffer = np.frombuffer(b"".join(content), np.uint8)
-            size = np.array([len(c) for c in content], np.int64)
-            many = size - LENGTH + 1
-            inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            here = np.repeat(np.cumsum(size) - size, many) + inner
-            low = Ranges().load(buffer).hash(here, here + LENGTH)
-            high = Ranges().load(buffer ^ np.uint8(0x5A)).hash(here, here + LENGTH)
-            doc = np.repeat(part.column(1).to_numpy(), many)
-            start = np.repeat(part.column(2).to_numpy() >> 10, many) + inner
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), pa.array(doc), pa.array(start << 10 | 1)], ["low", "hash", "doc", "place"]
-            )
+        for at in range(0, batch.num_rows, 10_000):
+            part = batch.slice(at, 10_000)
+            windows = _Windows(*(part.column(i).to_pylist() for i in (1, 2, 3)))
+            doc, place, hashed = windows.runs()
+            here = windows.here[~windows.again]
+            low = Ranges().load(windows.buffer).hash(here, here + LENGTH).view(np.int64)
+            high = Ranges().load(windows.buffer ^ np.uint8(0x5A)).hash(here, here + LENGTH).view(np.int64)
+            nothing = pa.nulls(len(doc), pa.int64())
+            columns = [
+                pa.chunked_array([nothing, pa.array(low)]).combine_chunks(),
+                pa.chunked_array([nothing, pa.array(high)]).combine_chunks(),
+                pa.array(np.concatenate([doc, windows.doc[~windows.again]])),
+                pa.array(np.concatenate([place, windows.start[~windows.again] << 10 | 1])),
+                pa.array(np.concatenate([hashed, low])),  # the hash of one window is its low digest
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["low", "high", "doc", "place", "hash"])
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -292,11 +303,13 @@ def repeats(docs: DataFrame) -> DataFrame:
     found = stored(docs.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_cut_out, "key long, doc long, place long, content binary"))
     ordered = found.where("key is not null").repartition(parts, "key").sortWithinPartitions("key")
     sorted_out = ordered.mapInArrow(_sort_dictionary, "doc long, place long, hash long")
-    windows = found.where("key is null").mapInArrow(_digests, "low long, hash long, doc long, place long")
-    firsts = windows.groupBy("low", "hash").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    digested = windows.join(firsts, ["low", "hash"]).where(F.struct("doc", "place") != F.col("first"))
-    # a window's own hash is the one that marks carry
-    return whole.unionByName(sorted_out).unionByName(digested.select("doc", "place", F.col("low").alias("hash")))
+    digests = stored(found.where("key is null").mapInArrow(_digests, "low long, high long, doc long, place long, hash long"))
+    windows = digests.where("low is not null")
+    firsts = windows.groupBy("low", "high").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    digested = windows.join(firsts, ["low", "high"]).where(F.struct("doc", "place") != F.col("first")).unionByName(
+        digests.where("low is null"), allowMissingColumns=True
+    )
+    return whole.unionByName(sorted_out).unionByName(digested.select("doc", "place", "hash"))
 
 
 def _removed(raw: bytes, marks: list[dict] | None, ranges: Ranges) -> np.ndarray:
