@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from casebook.session import materialise
 
-#: A key with more rows than this is split; the list of such keys therefore has at most
-#: total_rows / ROWS_PER_SALT entries, which is the size bound that makes it safe to broadcast.
+#: Pairs of rows of one key that one task takes; keys with more are split on both sides.
 ROWS_PER_SALT = 1_000_000
+#: The keys of most pairs that are split, so the list to broadcast has at most so many short rows. Any other key holds
+#: less than that share of all pairs.
+HOTTEST = 100_000
 
 
 def key_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -24,28 +26,34 @@ def salted_join(
     counts: DataFrame,
     rows_per_salt: int = ROWS_PER_SALT,
 ) -> DataFrame:
-    """Inner equi-join on ``keys``; hot keys of ``big`` are split by a hash of ``spread_by``.
+    """Inner equi-join on ``keys``; keys of many pairs are split into a grid.
 
-    ``counts`` (keys, n) bounds the rows of ``big`` per key. The rows of ``small`` are repeated once per
-    part of their key only, so ordinary keys pay nothing.
+    Rows of ``big`` are dealt by a hash of ``spread_by``, rows of ``small`` by one of their ``query_id`` or ``entity``;
+    each is repeated for the other's parts. ``counts`` (keys, n) holds the rows of ``big`` per key. Ordinary keys pay
+    nothing.
     """
-    hot = F.broadcast(
-        counts.where(F.col("n") > rows_per_salt).select(
-            *keys, F.ceil(F.col("n") / rows_per_salt).cast("int").alias("_parts")
-        )
-    )
-    parts = F.coalesce(F.col("_parts"), F.lit(1))
-    left = (
-        big.join(hot, keys, "left")
-        .withColumn("_salt", F.when(parts == 1, 0).otherwise(F.pmod(F.xxhash64(spread_by), parts).cast("int")))
-        .drop("_parts")
-    )
-    right = (
-        small.join(hot, keys, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .drop("_parts")
+    dealt_by = next((c for c in ("query_id", "entity") if c in small.columns), None)
+    pairs = F.col("n") * F.col("_asked")
+    # a key asked for by few is split on the big side alone
+    small_parts = F.ceil(F.col("_asked") / rows_per_salt**0.5) if dealt_by else F.lit(1)
+    grid = counts.join(key_counts(small, keys).withColumnRenamed("n", "_asked"), keys).where(pairs > rows_per_salt).select(
+        *keys, pairs.alias("_pairs"), F.ceil(pairs / rows_per_salt / small_parts).cast("int").alias("_rows"),
+        small_parts.cast("int").alias("_columns"),
     )
-    return left.join(right, [*keys, "_salt"]).drop("_salt")
+    hot = F.broadcast(grid.orderBy(F.desc("_pairs")).limit(HOTTEST).drop("_pairs"))
+
+    def dealt(rows: DataFrame, own: str, other: str, by: str | None) -> DataFrame:
+        parts, repeats = F.coalesce(F.col(own), F.lit(1)), F.coalesce(F.col(other), F.lit(1))
+        place = F.when(parts == 1, 0).otherwise(F.pmod(F.xxhash64(by), parts).cast("int")) if by else F.lit(0)
+        return (
+            rows.join(hot, keys, "left")
+            .withColumn(f"_at{own}", place)
+            .withColumn(f"_at{other}", F.explode(F.sequence(F.lit(0), repeats - 1)))
+            .drop("_rows", "_columns")
+        )
+
+    left, right = dealt(big, "_rows", "_columns", spread_by), dealt(small, "_columns", "_rows", dealt_by)
+    return left.join(right, [*keys, "_at_rows", "_at_columns"]).drop("_at_rows", "_at_columns")
 
 
 def top_per_key(rows: DataFrame, keys: list[str], order: list[Column], k: int, name: str) -> DataFrame:

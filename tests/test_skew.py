@@ -27,14 +27,33 @@ def test_salted_join_splits_the_hot_key(spark):
     big = _skewed(spark)
     small = spark.range(40).select(F.col("id").alias("k"))
     spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if neither side were small
     try:
         joined = salted_join(big, small, ["k"], "row_id", key_counts(big, ["k"]), rows_per_salt=100)
         tasks = joined.where("k = 7").withColumn("task", F.spark_partition_id()).select("task").distinct().count()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert tasks > 4
 
 
+def test_both_sides_of_a_hot_key_are_split(spark):
+    big = _skewed(spark)
+    small = spark.range(600).select(F.when(F.col("id") < 500, 7).otherwise(F.col("id") % 40).alias("k"), F.col("id").alias("query_id"))
+    plain = big.join(small, "k").select("k", "row_id", "query_id")
+    joined = salted_join(big, small, ["k"], "row_id", key_counts(big, ["k"]), rows_per_salt=10_000).select("k", "row_id", "query_id")
+    assert sorted(plain.collect()) == sorted(joined.collect())
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if neither side were small
+    try:
+        tasks = joined.where("k = 7 and row_id = 4").select(F.spark_partition_id()).distinct().count()
+        assert tasks > 1  # one row meets its inquiries in several tasks
+        assert joined.where("k = 7 and query_id = 4").select(F.spark_partition_id()).distinct().count() > 4
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_rank_within_equals_window_rank(spark):
     rows = _skewed(spark).withColumn("v", F.pmod(F.xxhash64("row_id"), F.lit(500)))
     order = [F.col("v").desc(), F.col("row_id").asc()]
