@@ -72,4 +72,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_languages": languages,
 }
 
-ORACLES: dict[str, str] = {}
+#: Words of both tables as the operator takes them, windows of item words found in the texts, and their words counted.
+_DECONTAMINATION = r"""WITH upper_case AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS a),
+texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), a, lower(a)), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents, upper_case),
+items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), a, lower(a)), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark, upper_case),
+phrases AS (
+  SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS phrase
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+places AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS phrase
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM texts, (SELECT DISTINCT n FROM phrases))),
+found AS (SELECT doc_id, i, n, item FROM places JOIN phrases USING (n, phrase)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM texts LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+#: Every 100-byte window of every text by its content, all but the first in order again, and the runs they cover.
+_SUFFIX_DEDUP = r"""WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (
+  SELECT doc_id, s, md5(substr(h, 2 * s - 1, 200)) AS content
+  FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 - 98)) AS s FROM bytes)),
+again AS (SELECT doc_id, s FROM windows QUALIFY row_number() OVER (PARTITION BY content ORDER BY doc_id, s) > 1),
+opened AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS opens FROM again),
+runs AS (
+  SELECT doc_id, min(s) AS first_byte, max(s) + 99 AS last_byte
+  FROM (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM opened) GROUP BY doc_id, run),
+gaps AS (
+  SELECT doc_id, coalesce(lag(last_byte) OVER (PARTITION BY doc_id ORDER BY first_byte), 0) + 1 AS a, first_byte - 1 AS z FROM runs
+  UNION ALL SELECT doc_id, max(last_byte) + 1, 9223372036854775807 // 4 FROM runs GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * a - 1, least(2 * (z - a + 1), length(h))), '' ORDER BY a) AS h FROM gaps JOIN bytes USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, CAST(sum(last_byte - first_byte + 1) AS BIGINT) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+SELECT b.doc_id, length(b.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(k.h, b.h))) AS kept_sha256
+FROM bytes b LEFT JOIN kept k USING (doc_id) LEFT JOIN sums USING (doc_id)"""
+
+#: The other operators tokenise, hash with XXH64, sketch or train: SQL can't express them.
+ORACLES: dict[str, str] = {"op4_decontamination": _DECONTAMINATION, "op9_suffix_dedup": _SUFFIX_DEDUP}
