@@ -88,19 +88,25 @@ def extremum_dates(asked: DataFrame, documents: DataFrame) -> DataFrame:
         .agg(F.lit(1).alias("_one"))
         .drop("_one")
     )
-    scoped = asked.where(F.col("superlative").isNotNull() & F.col("entity").isNull()).select(
-        *K, "types", "superlative", "lo", "hi"
-    )
-    return (
-        scoped.join(dated, "patient_id")
+    scoped = asked.where(F.col("superlative").isNotNull() & F.col("entity").isNull())
+    keyed, kinds = _kinds(scoped, "types", "superlative", "lo", "hi")
+    found = (
+        kinds.join(dated, "patient_id")
         .where(F.array_contains("types", F.col("document_type")) & _within_each_bound())
-        .groupBy(*K)
-        .agg(
-            F.when(F.first("superlative") == "latest", F.max("document_date"))
-            .otherwise(F.min("document_date"))
-            .alias("target_date")
-        )
+        .groupBy("kind")
+        .agg(F.min("document_date").alias("_first"), F.max("document_date").alias("_last"))
     )
+    wanted = F.when(F.col("kind.superlative") == "latest", F.col("_last")).otherwise(F.col("_first"))
+    return keyed.join(found, "kind").select(*K, wanted.alias("target_date"))
+
+
+def _kinds(asked: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """Inquiries keyed by what they ask for, and each distinct kind of a tenant once.
+
+    Alike inquiries of one tenant share their answer, so their number doesn't multiply the work.
+    """
+    keyed = asked.select(*K, F.struct("patient_id", *columns).alias("kind"))
+    return keyed, keyed.select("kind").distinct().select("kind", "kind.*")
 
 
 def _within_each_bound() -> Column:
@@ -170,10 +176,11 @@ def lexical_candidates(
 ) -> DataFrame:
     """Chunks naming the entity, newest first (oldest for FIRST), ten per inquiry.
 
-    Texts are matched once per tenant and distinct entity, not once per inquiry.
+    Texts are matched once per tenant and distinct entity, and cut to ten once per distinct kind of question.
     """
-    anchored = asked.where(F.col("entity").isNotNull()).drop("query_vec")
-    terms = anchored.select("patient_id", "entity").distinct()
+    anchored = asked.where(F.col("entity").isNotNull())
+    keyed, kinds = _kinds(anchored, "entity", "types", "superlative", "lo", "hi")
+    terms = kinds.select("patient_id", "entity").distinct()
     hits = (
         salted_join(searchable.drop("embedding"), terms, ["patient_id"], "chunk_id", counts, rows_per_salt)
         .where(lexical_match(F.col("entity"), F.col("chunk_text")))
@@ -183,14 +190,15 @@ def lexical_candidates(
     both = F.col("lo").isNotNull() & F.col("hi").isNotNull()
     plain = F.col("retrievable") & (~both | (date.isNotNull() & date.between(F.col("lo"), F.col("hi"))))
     extreme = date.isNotNull() & _within_each_bound()
-    pairs = hits.join(anchored, ["patient_id", "entity"]).where(
+    pairs = hits.join(kinds, ["patient_id", "entity"]).where(
         F.array_contains("types", F.col("document_type"))
         & F.when(F.col("superlative").isNull(), plain).otherwise(extreme)
     )
     days = F.datediff(date, F.lit("1970-01-01").cast("date"))
     chronological = F.when(F.col("superlative") == "first", days).otherwise(-days)
     order = [chronological.asc_nulls_last(), F.col("document_id"), F.col("chunk_index")]
-    return top_per_key(pairs, K, order, lx.LEXICAL_CANDIDATES, "rank").select(
+    best = top_per_key(pairs, ["kind"], order, lx.LEXICAL_CANDIDATES, "rank")
+    return best.select("kind", "chunk_id", "document_id", "chunk_index", "document_date", "rank").join(keyed, "kind").select(
         *K, "chunk_id", "document_id", "chunk_index", "document_date", "rank"
     )
 
