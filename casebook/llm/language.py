@@ -88,12 +88,16 @@ def train(docs: DataFrame, per_language: int = 300, landmarks: int = 48, ridge:
     languages, drawn by a hash of their text, those over 100,000 characters last. None if nothing is labelled."""
     learnt = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
     labelled = docs.select("doc_id", "lang", "text").where(learnt & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    frequent = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
-    slim = labelled.select("doc_id", "lang", F.xxhash64("text").alias("drawn"), (F.length("text") > 100_000).alias("long"))
+    frequent = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    # hashes below a bound that lets some four times the sample through; copies of a text count once
+    drawn = F.xxhash64("text")
+    bound = F.lit(4 * per_language + 100) / F.col("count")
+    near = labelled.withColumn("drawn", drawn).join(F.broadcast(frequent), "lang").where(F.pmod("drawn", F.lit(1 << 40)) / float(1 << 40) < bound)
+    slim = near.groupBy("lang", "drawn").agg(F.min("doc_id").alias("doc_id"), F.max(F.length("text") > 100_000).alias("long"))
     order = Window.partitionBy("lang").orderBy("long", "drawn", "doc_id")
-    sample = slim.join(F.broadcast(frequent), "lang").withColumn("at", F.row_number().over(order)).where(F.col("at") <= per_language)
+    sample = slim.withColumn("at", F.row_number().over(order)).where(F.col("at") <= per_language)
     keyed = labelled.withColumn("drawn", F.xxhash64("text"))
-    rows = keyed.join(F.broadcast(sample.select("doc_id", "lang", "drawn", "at").distinct()), ["doc_id", "lang", "drawn"])
+    rows = keyed.join(F.broadcast(sample.select("doc_id", "lang", "drawn", "at")), ["doc_id", "lang", "drawn"])
     found = rows.groupBy("lang", "at").agg(F.first("text").alias("text")).orderBy("at", "lang").collect()
     return Model.fit([r["text"] for r in found], [r["lang"] for r in found], landmarks, ridge) if found else None
 
