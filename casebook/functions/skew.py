@@ -62,13 +62,32 @@ def top_per_key(rows: DataFrame, keys: list[str], order: list[Column], k: int, n
     return rows.withColumn(name, F.row_number().over(window)).where(F.col(name) <= k)
 
 
-def rank_within(rows: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
-    """Exact 1-based rank of every row within ``keys``, without one task per key.
+def rank_within(
+    rows: DataFrame, keys: list[str], order: list[Column], name: str, rows_per_task: int = ROWS_PER_SALT
+) -> DataFrame:
+    """Exact 1-based rank of every row within ``keys``, without one task for a large key.
 
-    Rows are range-sorted over (keys, order), so a large key spans many tasks; the rank is the row's
-    offset inside its task plus the count of the key's rows in earlier tasks. The sorted rows are
-    written once, so both readers see the same layout even when an executor is lost.
+    Ordinary keys are ranked by a window, one shuffle. Keys of more than ``rows_per_task`` rows, if there are any, are
+    range-sorted instead.
     """
+    large = key_counts(rows, keys).where(F.col("n") > rows_per_task).orderBy(F.desc("n")).limit(HOTTEST).select(*keys)
+    large = materialise(large)
+    if large.isEmpty():
+        return _ranked_by_window(rows, keys, order, name)
+    listed = F.broadcast(large)
+    return _ranked_by_window(rows.join(listed, keys, "left_anti"), keys, order, name).unionByName(
+        _ranked_by_range(rows.join(listed, keys, "left_semi"), keys, order, name)
+    )
+
+
+def _ranked_by_window(rows: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+
+
+def _ranked_by_range(rows: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """Rows are range-sorted over (keys, order), so a large key spans many tasks; the rank is the row's offset inside
+    its task plus the count of the key's rows in earlier tasks. The sorted rows are written once, so both readers
+    see the same layout even when an executor is lost."""
     placed = materialise(
         rows.orderBy(*keys, *order).withColumn("_at", F.monotonically_increasing_id())
     ).withColumn("_task", F.shiftright("_at", 33))
