@@ -265,7 +265,8 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: flo
     scored alike."""
     ids = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
     fold = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(5))
-    tables = fit(docs.select("doc_id", "text").join(ids.where(fold != 0), "doc_id", "left_semi"))
+    # labels grow with the corpus, so they are never broadcast, however few there are
+    tables = fit(docs.select("doc_id", "text").join(ids.where(fold != 0).hint("merge"), "doc_id", "left_semi"))
     scored = stored(perplexities(docs, tables))
     trusted = scored.join(ids.where(fold == 0), "doc_id", "left_semi")
     median = trusted.agg(F.coalesce(F.percentile_approx("perplexity", 0.5, 10_000), F.lit(1.0))).first()[0]
