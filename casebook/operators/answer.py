@@ -203,10 +203,14 @@ def refused(inquiries: DataFrame) -> DataFrame:
 
 
 def gate(inquiries: DataFrame) -> DataFrame:
-    """Accepted inquiries, annotated, with the safety flag."""
+    """Accepted inquiries, annotated, with the safety flag; each distinct question is understood once."""
     accepted = inquiries.where(validation_error(F.col("query_text")).isNull())
+    key = F.struct("query_text", "ref_date")
     # Questions are short, matching them against the word lists is not: one small shuffle evens it out.
-    return annotate(spread(accepted, *K)).withColumn("safety_triggered", safety_triggered(F.col("query_text")))
+    questions = spread(accepted.select("query_text", "ref_date").distinct(), "query_text", "ref_date")
+    understood = annotate(questions).withColumn("safety_triggered", safety_triggered(F.col("query_text")))
+    keyed = understood.withColumn("_key", key).drop("query_text", "ref_date")
+    return accepted.withColumn("_key", key).join(keyed, "_key").drop("_key")
 
 
 def answer_inquiries(inquiries: DataFrame, tables, top_k: int | None = None,

@@ -16,20 +16,21 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder the session names; sessions that name none, as in tests, get their own."""
+    """Return the checkpoint folder the session names; sessions that name none, as in tests, get their own.
+
+    The application's part of it is removed when its JVM ends."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
-    if current:
-        return current
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="run-")
-    context.setCheckpointDir(named)
-    return named
+    if not current:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-"))
+        current = context.getCheckpointDir()
+        path = spark._jvm.org.apache.hadoop.fs.Path(current)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return current
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write a relation several branches read, so no branch repeats its lineage."""
+    """Write a relation several branches read, so no branch repeats its lineage; its partitions stay as they are."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
