@@ -13,13 +13,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casebook.llm.units import Memo
+from casebook.llm.units import Memo, by_bytes
 
 #: Ids per word and bits per id by selector; selector 0 is the escape: the next word is one id of up to 64 bits.
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1])
 WIDTHS = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 60])
 #: Ids per frame; a payload starts with the number of ids, of frames, and each frame's first word.
-FRAME = 8192
+FRAME = 16_384
 
 
 def _frame(values: np.ndarray) -> np.ndarray:
@@ -103,7 +103,7 @@ def unpack(payload: bytes, frames: slice = slice(None)) -> np.ndarray:
 _LETTERS, _NUMERALS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
 #: What the vocabulary's pattern makes of lower-cased words in that range.
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMERALS}]|[^\\s{_LETTERS}{_NUMERALS}]+")
-_LATIN = re.compile("[\0-\u024f]*")
+_PLAIN = re.compile("[!-~\xa1-\xac\xae-\u024f]*")
 
 
 class WordEncoder:
@@ -111,7 +111,7 @@ class WordEncoder:
 
     Any space is a safe boundary. Words are cut into pieces, which repeat more often; unknown pieces go to the library
     many at a time, parted by spaces, and come back apart by the tokens that end a piece. Words of other scripts and
-    those that hold a special string go to it as they are."""
+    texts that hold a special string go to it as they are."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -124,7 +124,7 @@ class WordEncoder:
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith("</w>")]] = True
         self.pieces = Memo(self._pieces, 1_200_000)
-        self.words = Memo(self._words, 300_000)
+        self.words = Memo(self._words, 600_000)
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         found = []
@@ -145,16 +145,28 @@ class WordEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[bytes]:
-        plain = [w.isprintable() and (w.isascii() or _LATIN.fullmatch(w) is not None) and not any(s in w for s in self.special) for w in words]
-        rest = iter(self._whole([w for w, p in zip(words, plain, strict=True) if not p]))
-        cut = [_PIECES.findall(w.lower()) if p else () for w, p in zip(words, plain, strict=True)]
-        known = self.pieces.ready({piece for pieces in cut for piece in pieces})
-        return [b"".join(map(known.__getitem__, pieces)) if p else next(rest) for pieces, p in zip(cut, plain, strict=True)]
+        plain, findall = _PLAIN.fullmatch, _PIECES.findall
+        cut = [findall(w.lower()) if plain(w) else None for w in words]
+        whole = [w for w, pieces in zip(words, cut, strict=True) if pieces is None]
+        rest = iter(self._whole(whole)) if whole else iter(())
+        get = self.pieces.ready({piece for pieces in cut if pieces for piece in pieces}).__getitem__
+        return [
+            next(rest) if pieces is None else get(pieces[0]) if len(pieces) == 1 else b"".join(map(get, pieces)) for pieces in cut
+        ]
+
+    def _in_parts(self, texts: list[str]) -> list[bytes]:
+        """Texts that hold special strings go to the library whole, the others as ever."""
+        held = [any(special in text for special in self.special) for text in texts]
+        plain = iter(self.encode([text for text, h in zip(texts, held, strict=True) if not h]))
+        whole = iter(self._whole([text for text, h in zip(texts, held, strict=True) if h]))
+        return [next(whole) if h else next(plain) for h in held]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if any(special in text for text in texts for special in self.special):
+            return self._in_parts(texts)
         cut = [text.replace("\n", " ").split(" ") for text in texts]
-        known = self.words.ready({word for c in cut for word in c})
-        return [b"".join(map(known.__getitem__, c)) for c in cut]
+        get = self.words.ready({word for c in cut for word in c}).__getitem__
+        return [b"".join(map(get, c)) for c in cut]
 
 
 @lru_cache(maxsize=2)
@@ -186,10 +198,10 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 2, block
             return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row.values(), kinds, strict=True)], list(row))
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 1000):
-                for doc_id, row in zip(ids[at : at + 1000], encoder.encode([t or "" for t in texts[at : at + 1000]]), strict=True):
-                    names.append(doc_id)
+            ids = iter(batch.column(0).to_pylist())
+            for texts in by_bytes(batch.column(1).to_pylist(), 6 << 20):
+                for row in encoder.encode(texts):
+                    names.append(next(ids))
                     held.append(row + end)
                     size += len(held[-1]) // 4
                     if size >= block_ids:

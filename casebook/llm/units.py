@@ -45,14 +45,15 @@ class Memo:
 
     def ready(self, wanted: set[str]) -> dict:
         """A mapping of every wanted unit."""
-        young, old = self.young, self.old
-        answer = {unit: young[unit] for unit in wanted if unit in young}
-        rest = [unit for unit in wanted if unit not in young]
-        again = {unit: old[unit] for unit in rest if unit in old}
-        missing = [unit for unit in rest if unit not in old]
-        found = dict(zip(missing, self.encode(missing), strict=True)) if missing else {}
-        young.update(again)
-        young.update((unit, value) for unit, value in found.items() if len(unit) <= self.longest)
-        if len(young) > self.half:
-            self.young, self.old = {}, young
-        return answer | again | found
+        order = list(wanted)
+        answer = dict(zip(order, map(self.young.get, order), strict=True))
+        rest = [unit for unit, value in answer.items() if value is None]
+        again = dict(zip(rest, map(self.old.get, rest), strict=True))
+        missing = [unit for unit, value in again.items() if value is None]
+        if missing:
+            again.update(zip(missing, self.encode(missing), strict=True))
+        answer.update(again)
+        self.young.update((unit, value) for unit, value in again.items() if len(unit) <= self.longest)
+        if len(self.young) > self.half:
+            self.young, self.old = {}, self.young
+        return answer
