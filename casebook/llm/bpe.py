@@ -98,9 +98,9 @@ class Codec:
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{_SPACE}").replace(r"\S", f"[^{_SPACE}]").replace(r"\s", f"[{_SPACE}]"))
-        self.pieces = Memo(self._pieces, 800_000)
-        self.first = Memo(self._units)
-        self.later = Memo(lambda later: self._units([" " + unit for unit in later]))
+        self.pieces = Memo(self._pieces, 350_000)
+        self.first = Memo(self._units, 50_000)
+        self.later = Memo(lambda later: self._units([" " + unit for unit in later]), 250_000)
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         return [np.array(merge(piece.encode(), self.ranks), "<u4").tobytes() for piece in pieces]

@@ -53,7 +53,7 @@ def _hash_text(grams: list[str]) -> np.ndarray:
     return out
 
 
-def _groups(texts: list[str], most: int = 1 << 21) -> Iterator[list[str]]:
+def _groups(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
     group, size = [], 0
     for text in texts:
         group.append(text)
@@ -70,7 +70,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for group in _groups([text or "" for text in batch.column(0).to_pylist()], 1 << 22):
+            for group in _groups([text or "" for text in batch.column(0).to_pylist()], 1 << 21):
                 codes, place, _ = _codes(group)
                 _, first, n = np.unique(_hash(codes, place, ORDER), return_index=True, return_counts=True)
                 windows = np.lib.stride_tricks.sliding_window_view(codes, ORDER)[place[first]]
