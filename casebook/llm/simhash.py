@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -120,14 +120,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """`docs` with one row of each group of near-duplicates: that of the smallest doc_id (then of the smallest hash of
+def keep_one(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame] = clustered) -> DataFrame:
+    """`docs` with one row of each group (rows that `grouped` gives one root): that of the smallest doc_id (then of the smallest hash of
     its text; rows without an id last). Columns are as before; of repeated rows one stays."""
     names = docs.columns
     text_key, id_key = F.xxhash64("text", "doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))
     slim = docs.select("doc_id", "text", text_key.alias("__text"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("__text").alias("text"))
-    first = clustered(slim).groupBy("root").agg(F.min(order).alias("row"))
+    first = grouped(slim).groupBy("root").agg(F.min(order).alias("row"))
     kept = first.select(F.col("row.text").alias("__text"), F.coalesce(F.col("row.doc_id").cast("long"), F.lit(0).cast("long")).alias("__id"))
     marked = docs.withColumns({"__text": text_key, "__id": id_key})
     return marked.join(kept, ["__text", "__id"], "left_semi").dropDuplicates(["__text", "__id"]).select(*names)
