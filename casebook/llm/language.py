@@ -41,35 +41,43 @@ def normalised(matrix: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """landmarks: features x landmarks; weights: landmarks x languages, the Nystroem map folded in."""
+    """weights: features x languages, the landmarks and the Nystroem map folded in."""
 
     languages: list[str]
-    landmarks: np.ndarray
     weights: np.ndarray
     steepness: float = 6.0
 
     @classmethod
     def fit(cls, texts: list[str], labels: list[str], landmarks: int, ridge: float) -> Model:
+        """Presence is kept as bits and multiplied a block at a time, so that many languages fit in memory."""
         languages = sorted(set(labels))
-        rows = np.concatenate([normalised(m) for m in presence(texts)])
+        bits = np.concatenate([np.packbits(m > 0, axis=1) for m in presence(texts)])
         chosen = [i for lang in languages for i in [j for j, x in enumerate(labels) if x == lang][:landmarks]]
-        basis = rows[chosen]
-        values, vectors = np.linalg.eigh((basis @ basis.T).astype(np.float64))
+
+        def blocks(rows: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+            for at in range(0, len(rows), 512):
+                yield slice(at, at + 512), normalised(np.unpackbits(rows[at : at + 512], axis=1).astype(np.float32))
+
+        kernel = np.empty((len(bits), len(chosen)), np.float32)
+        for across, basis in blocks(bits[chosen]):
+            for down, rows in blocks(bits):
+                kernel[down, across] = rows @ basis.T
+        values, vectors = np.linalg.eigh(kernel[chosen].astype(np.float64))
         kept = values > values[-1] * 1e-6
         root = vectors[:, kept] / np.sqrt(values[kept])
-        mapped = (rows @ basis.T).astype(np.float64) @ root
+        mapped = kernel.astype(np.float64) @ root
         target = np.where(np.array(labels)[:, None] == np.array(languages), 1.0, -1.0)
         share = (target > 0).mean(axis=0)
         target = np.where(target > 0, 1.0, -share / np.maximum(1 - share, 1e-9))
         solved = np.linalg.solve(mapped.T @ mapped + ridge * np.eye(mapped.shape[1]), mapped.T @ target)
-        return cls(languages, np.ascontiguousarray(basis.T), (root @ solved).astype(np.float32))
+        each = (root @ solved).astype(np.float32)
+        return cls(languages, sum(basis.T @ each[across] for across, basis in blocks(bits[chosen])))
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """The language of the highest ridge output, and its softmax share."""
         names, scores = [], []
-        folded = self.landmarks @ self.weights  # features x languages: the same products, the small ones first
         for matrix in presence(texts):
-            out = (normalised(matrix) @ folded).astype(np.float64)
+            out = (normalised(matrix) @ self.weights).astype(np.float64)
             share = np.exp(self.steepness * (out - out.max(axis=1, keepdims=True)))
             share /= share.sum(axis=1, keepdims=True)
             best = out.argmax(axis=1)
@@ -83,21 +91,20 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, per_language: int = 300, landmarks: int = 48, ridge: float = 0.3, languages: int = 256) -> Model | None:
-    """Fit on a bounded sample: at most `per_language` labelled documents of each of the `languages` most frequent
-    languages, drawn by a hash of their text, those over 100,000 characters last. None if nothing is labelled."""
+def train(docs: DataFrame, per_language: int = 300, landmarks: int = 48, ridge: float = 0.3) -> Model | None:
+    """Fit on a sample: at most `per_language` labelled documents of every language, of distinct texts, drawn by a hash
+    of their text, those over 100,000 characters last. None if nothing is labelled."""
     learnt = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
     labelled = docs.select("doc_id", "lang", "text").where(learnt & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    frequent = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
-    # hashes below a bound that lets some four times the sample through; copies of a text count once
-    drawn = F.xxhash64("text")
+    # hashes below a bound that lets some four times the sample through; copies of a text count once, here and there
+    hashed = labelled.select("doc_id", "lang", "text", F.xxhash64("text").alias("drawn"))
+    distinct = hashed.select("lang", "drawn").distinct().groupBy("lang").count()
     bound = F.lit(4 * per_language + 100) / F.col("count")
-    near = labelled.withColumn("drawn", drawn).join(F.broadcast(frequent), "lang").where(F.pmod("drawn", F.lit(1 << 40)) / float(1 << 40) < bound)
+    near = hashed.join(F.broadcast(distinct), "lang").where(F.pmod("drawn", F.lit(1 << 40)) / float(1 << 40) < bound)
     slim = near.groupBy("lang", "drawn").agg(F.min("doc_id").alias("doc_id"), F.max(F.length("text") > 100_000).alias("long"))
     order = Window.partitionBy("lang").orderBy("long", "drawn", "doc_id")
     sample = slim.withColumn("at", F.row_number().over(order)).where(F.col("at") <= per_language)
-    keyed = labelled.withColumn("drawn", F.xxhash64("text"))
-    rows = keyed.join(F.broadcast(sample.select("doc_id", "lang", "drawn", "at")), ["doc_id", "lang", "drawn"])
+    rows = hashed.join(F.broadcast(sample.select("doc_id", "lang", "drawn", "at")), ["doc_id", "lang", "drawn"])
     found = rows.groupBy("lang", "at").agg(F.first("text").alias("text")).orderBy("at", "lang").collect()
     return Model.fit([r["text"] for r in found], [r["lang"] for r in found], landmarks, ridge) if found else None
 
@@ -106,8 +113,8 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of `docs`.
 
     Texts that are null, empty or without any letter are `und` with score 0, and so is all if no language was learnt.
-    Repeated rows get the same answer. The model (features x landmarks per language) is broadcast; its size follows
-    from the sample's bounds, not from the data."""
+    Repeated rows get the same answer. The model (features x languages) is broadcast; its size follows
+    from the number of languages, not from the rows."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
