@@ -185,7 +185,7 @@ def equal_windows(buffer: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 class _Windows:
     """The windows of phrases (doc, place, bytes): where they stand in the corpus and in a buffer, and which of them
-    stand earlier in another of these phrases."""
+    stand earlier in another of these phrases. The same place of a repeated row is not earlier."""
 
     def __init__(self, doc: list[int], place: list[int], content: list[bytes]):
         self.buffer = np.frombuffer(b"".join(content), np.uint8)
@@ -198,8 +198,11 @@ class _Windows:
         self.start = (np.array(place, np.int64) >> 10)[self.phrase] + inner
         rank = equal_windows(self.buffer, self.here)
         order = np.lexsort((self.start, self.doc, rank))
+        rank, doc_of, start_of = rank[order], self.doc[order], self.start[order]
+        opens = np.flatnonzero(np.diff(rank, prepend=-1))
+        first = np.repeat(opens, np.diff(opens, append=len(order)))
         self.again = np.zeros(len(order), bool)
-        self.again[order[1:]] = rank[order[1:]] == rank[order[:-1]]
+        self.again[order] = (doc_of != doc_of[first]) | (start_of != start_of[first])
 
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """doc, place and hash of the runs of windows that stand earlier."""
