@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from casebook.llm import bpe, fm_index, language, perplexity, prefix_free, simhash, sketches, token_counts, token_store, wrappers
+from casebook.llm import bpe, centroids, fm_index, language, packing, perplexity, prefix_free, product_codes, simhash, sketches, token_counts, token_store, wrappers
 from casebook.llm.storage import shared_folder
 
 
@@ -59,6 +59,18 @@ def languages(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(docs, language.train(docs))
 
 
+def vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return product_codes.compress(_table(spark, folder, "embeddings"))
+
+
+def best_fit(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), ids=False)
+
+
+def clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.cluster_report(_table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_page_texts": page_texts,
     "op2_fingerprints": fingerprints,
@@ -70,6 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": simhash_groups,
     "op9_suffix_dedup": suffix_dedup,
     "op10_languages": languages,
+    "op11_vector_codes": vector_codes,
+    "op12_best_fit": best_fit,
+    "op13_centroids": clusters,
 }
 
 #: Words of both tables as the operator takes them, windows of item words found in the texts, and their words counted.
@@ -112,5 +127,56 @@ SELECT b.doc_id, length(b.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_remove
   sha256(unhex(coalesce(k.h, b.h))) AS kept_sha256
 FROM bytes b LEFT JOIN kept k USING (doc_id) LEFT JOIN sums USING (doc_id)"""
 
+#: Vectors that both vector operators take, and the exact floor of a sum s of n integers.
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, e -> e IS NULL OR NOT isfinite(e))) = 0"
+_MEAN = "CAST((s - (s % n + n) % n) // n AS BIGINT)"
+_APART = "CAST(list_sum(list_transform(list_zip(v.x, c.x), z -> (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+
+
+def _integers(factor: int) -> str:
+    return f"list_transform(embedding, e -> CAST(floor({factor} * CAST(e AS DOUBLE)) AS BIGINT))"
+
+
+def _refined(rounds: int, keys: str, vectors: str) -> str:
+    """CTEs c1, a1 ... of so many rounds from entries c0 (part, c, x): nearest entries of `vectors`, then their means."""
+    steps = []
+    for at in range(rounds + 1):
+        steps.append(f"""a{at} AS MATERIALIZED (
+  SELECT {keys}, part, x, c, d FROM (
+    SELECT v.*, c.c, {_APART} AS d, row_number() OVER (PARTITION BY v.vec_id, v.part ORDER BY {_APART}, c.c) AS place
+    FROM {vectors} v JOIN c{at} c USING (part)) WHERE place = 1)""")
+        if at < rounds:
+            steps.append(f"""c{at + 1} AS MATERIALIZED (
+  SELECT o.part, o.c, coalesce(f.x, o.x) AS x FROM c{at} o LEFT JOIN (
+    SELECT part, c, list({_MEAN} ORDER BY i) AS x FROM (
+      SELECT part, c, i, CAST(sum(e) AS HUGEINT) AS s, count(*) AS n
+      FROM (SELECT part, c, unnest(x) AS e, generate_subscripts(x, 1) AS i FROM a{at}) GROUP BY part, c, i)
+    GROUP BY part, c) f USING (part, c))""")
+    return ",\n".join(steps)
+
+
+_VECTOR_CODES = f"""WITH kept AS (
+  SELECT vec_id, label, {_integers(4096)} AS x FROM embeddings WHERE {_FINITE}),
+cut AS MATERIALIZED (SELECT vec_id, label, part, x[part * (len(x) // 8) + 1:(part + 1) * (len(x) // 8)] AS x FROM kept, range(8) r(part)),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS c FROM kept QUALIFY c < 16),
+c0 AS MATERIALIZED (SELECT part, c, x FROM cut JOIN first USING (vec_id)),
+{_refined(6, "vec_id, label", "cut")},
+books AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, c)) AS codebooks_sha256 FROM c6),
+rows AS (SELECT vec_id, label, string_agg(printf('%02x', c), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a6 GROUP BY vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM rows, books"""
+
+_CENTROIDS = f"""WITH kept AS MATERIALIZED (
+  SELECT vec_id, 0 AS part, {_integers(64)} AS x FROM embeddings WHERE {_FINITE} AND len(embedding) = 64),
+c0 AS MATERIALIZED (SELECT part, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, x FROM kept QUALIFY c < 16),
+{_refined(3, "vec_id", "kept")}
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a3 a JOIN c3 c ON a.c = c.c"""
+
 #: The other operators tokenise, hash with XXH64, sketch or train: SQL can't express them.
-ORACLES: dict[str, str] = {"op4_decontamination": _DECONTAMINATION, "op9_suffix_dedup": _SUFFIX_DEDUP}
+ORACLES: dict[str, str] = {
+    "op4_decontamination": _DECONTAMINATION,
+    "op9_suffix_dedup": _SUFFIX_DEDUP,
+    "op11_vector_codes": _VECTOR_CODES,
+    "op13_centroids": _CENTROIDS,
+}

@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casebook.llm.units import Memo, by_bytes
+from casebook.llm.units import Memo, byte_slices, gather, joined, words_of
 
 #: Ids per word and bits per id by selector; selector 0 is the escape: the next word is one id of up to 64 bits.
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1])
@@ -99,19 +99,20 @@ def unpack(payload: bytes, frames: slice = slice(None)) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
-#: Letters and other numerals below U+0250, whose classes and lower case are settled in every version of Unicode.
-_LETTERS, _NUMERALS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: Letters and other numerals below U+0250 (but dotted I), whose classes and lower case are settled in every version of Unicode.
+_LETTERS = r"a-zA-Z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}"
+_NUMERALS = r"0-9\x{b2}\x{b3}\x{b9}\x{bc}-\x{be}"
 #: What the vocabulary's pattern makes of lower-cased words in that range.
-_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMERALS}]|[^\\s{_LETTERS}{_NUMERALS}]+")
-_PLAIN = re.compile("[!-~\xa1-\xac\xae-\u024f]*")
+_PIECES = f"('s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMERALS}]|[^\\s{_LETTERS}{_NUMERALS}]+)"
+_PLAIN = r"^[!-~\x{a1}-\x{ac}\x{ae}-\x{12f}\x{131}-\x{24f}]*$"
 
 
 class WordEncoder:
     """Ids of whole texts under a tokenizers file that drops white space and marks the last token of each piece.
 
-    Any space is a safe boundary. Words are cut into pieces, which repeat more often; unknown pieces go to the library
-    many at a time, parted by spaces, and come back apart by the tokens that end a piece. Words of other scripts and
-    texts that hold a special string go to it as they are."""
+    Any space is a safe boundary. Distinct words are cut into pieces by Arrow's own expressions; unknown pieces go to the
+    library many at a time, parted by spaces, and come back apart by the tokens that end a piece. Words of other scripts
+    and texts that hold a special string go to it as they are."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -124,7 +125,6 @@ class WordEncoder:
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith("</w>")]] = True
         self.pieces = Memo(self._pieces, 1_200_000)
-        self.words = Memo(self._words, 600_000)
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         found = []
@@ -144,33 +144,40 @@ class WordEncoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        plain, findall = _PLAIN.fullmatch, _PIECES.findall
-        cut = [findall(w.lower()) if plain(w) else None for w in words]
-        whole = [w for w, pieces in zip(words, cut, strict=True) if pieces is None]
-        rest = iter(self._whole(whole)) if whole else iter(())
-        get = self.pieces.ready({piece for pieces in cut if pieces for piece in pieces}).__getitem__
-        return [
-            next(rest) if pieces is None else get(pieces[0]) if len(pieces) == 1 else b"".join(map(get, pieces)) for pieces in cut
-        ]
-
-    def _in_parts(self, texts: list[str]) -> list[bytes]:
-        """Texts that hold special strings go to the library whole, the others as ever."""
-        held = [any(special in text for special in self.special) for text in texts]
-        plain = iter(self.encode([text for text, h in zip(texts, held, strict=True) if not h]))
-        whole = iter(self._whole([text for text, h in zip(texts, held, strict=True) if h]))
-        return [next(whole) if h else next(plain) for h in held]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if any(special in text for text in texts for special in self.special):
-            return self._in_parts(texts)
-        cut = [text.replace("\n", " ").split(" ") for text in texts]
-        get = self.words.ready({word for c in cut for word in c}).__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words in one row and the number of each."""
+        plain = pc.match_substring_regex(words, _PLAIN)
+        cut = pc.replace_substring_regex(pc.utf8_lower(pc.if_else(plain, words, "")), _PIECES, r"\1 ")
+        codes, ends, pieces = words_of(cut)
+        pieces = pieces.to_pylist()
+        known = self.pieces.ready({piece for piece in pieces if piece})
+        values = [known[piece] if piece else b"" for piece in pieces]
+        whole = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+        if len(whole):  # each was cut into one empty piece
+            codes[ends[whole] - 1] = len(values) + np.arange(len(whole))
+            values += self._whole(words.take(pa.array(whole)).to_pylist())
+        flat, stops = gather(*joined(values), codes, ends)
+        return flat, np.diff(stops, prepend=0)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (no nulls) in one row and where each text's end.
+
+        Each distinct word is cut once a call. Texts that hold a special string go to the library whole."""
+        held = np.zeros(len(texts), bool)
+        for special in self.special:
+            held |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(held), "", texts) if held.any() else texts
+        codes, ends, words = words_of(pc.replace_substring(plain, "\n", " "))
+        flat, sizes = self._words(words)
+        if held.any():  # each was cut into one empty word
+            codes[ends[held] - 1] = len(sizes) + np.arange(held.sum())
+            more, counts = joined(self._whole(texts.filter(pa.array(held)).to_pylist()))
+            flat, sizes = np.concatenate([flat, more]), np.concatenate([sizes, counts])
+        return gather(flat, sizes, codes, ends)
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> WordEncoder:
+def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
@@ -186,7 +193,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 2, block
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, encoder = TaskContext.get().partitionId(), _encoder(path)
+        bucket, encoder = TaskContext.get().partitionId(), word_encoder(path)
         number = offset = size = 0
         names, held = [], []
         end = np.array([end_id], "<u4").tobytes()
@@ -199,11 +206,12 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 2, block
 
         for batch in batches:
             ids = iter(batch.column(0).to_pylist())
-            for texts in by_bytes(batch.column(1).to_pylist(), 6 << 20):
-                for row in encoder.encode(texts):
+            for texts in byte_slices(batch.column(1), 12 << 20):
+                found, stops = encoder.encode(texts)
+                for row in np.split(found, stops[:-1]):
                     names.append(next(ids))
-                    held.append(row + end)
-                    size += len(held[-1]) // 4
+                    held.append(row.tobytes() + end)
+                    size += len(row) + 1
                     if size >= block_ids:
                         yield close()
                         number, offset, size, names, held = number + 1, offset + size, 0, [], []

@@ -5,6 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: A space after any white space stands inside a run that the pre-tokenizers may take as one piece.
 _ASCII_RUNS = ("  ", "\n ", "\t ", "\r ", "\v ", "\f ", "\x1c ", "\x1d ", "\x1e ", "\x1f ")
 _OTHER_RUNS = re.compile("[\x85\xa0  -     　] ")
@@ -33,6 +37,39 @@ def by_bytes(texts: Iterable[str | None], most: int = 4 << 20) -> Iterator[list[
         yield batch
 
 
+def byte_slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[pa.Array]:
+    """The same texts in order, cut between rows so that few bytes become Python objects at a time; nulls are empty."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield pc.fill_null(texts.slice(at, stop - at), "")
+        at = stop
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Texts without nulls cut at every space: the code of each word, the end of each text, the distinct words."""
+    lists = pc.split_pattern(texts, " ")
+    found = lists.flatten().dictionary_encode()
+    ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+    return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), ends, found.dictionary
+
+
+def joined(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit ids of all values in one row, and the number of each."""
+    return np.frombuffer(b"".join(values), "<u4"), np.fromiter(map(len, values), np.int64, len(values)) // 4
+
+
+def gather(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids that each code stands for, in one row, and where those of each text end."""
+    starts = np.cumsum(sizes) - sizes
+    counts = sizes[codes]
+    stops = np.cumsum(counts)
+    places = np.repeat(starts[codes] - (stops - counts), counts)
+    places += np.arange(len(places))
+    return flat[places], np.concatenate([[0], stops])[ends]
+
+
 class Memo:
     """What each unit encodes to: two generations bounded in entries, the older one dropped as the younger fills.
 
