@@ -10,13 +10,16 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from casebook.llm.units import Memo, by_bytes, units
+from casebook.llm.units import LETTERS, NUMERALS, PLAIN, Memo, byte_slices, gather, has_runs, joined, units, words_of
 
 #: White space as the pattern's engine has it (Unicode White_Space), whatever the local one takes for it.
 _SPACE = r"\t-\r \x85\xa0  -     　"
+#: Pieces of a plain word after a space under the pattern of the GPT-2 family.
+_CUTS = f"('s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMERALS}]+| ?[^\\s{LETTERS}{NUMERALS}]+)"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -98,9 +101,9 @@ class Codec:
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{_SPACE}").replace(r"\S", f"[^{_SPACE}]").replace(r"\s", f"[{_SPACE}]"))
-        self.pieces = Memo(self._pieces, 350_000)
-        self.first = Memo(self._units, 50_000)
-        self.later = Memo(lambda later: self._units([" " + unit for unit in later]), 250_000)
+        self.names = np.array(self.tokens, object)
+        self.lengths = np.array([len(token) for token in self.tokens], np.int64)
+        self.pieces = Memo(self._pieces, 500_000)
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         return [np.array(merge(piece.encode(), self.ranks), "<u4").tobytes() for piece in pieces]
@@ -110,14 +113,40 @@ class Codec:
         known = self.pieces.ready({piece for pieces in cut for piece in pieces})
         return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [units(text) for text in texts]
-        first = self.first.ready({c[0] for c in cut})
-        later = self.later.ready({unit for c in cut for unit in c[1:]})
-        return [first[c[0]] + b"".join(map(later.__getitem__, c[1:])) for c in cut]
-
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def _later(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words, each after a space, in one row and the number of each."""
+        plain = pc.match_substring_regex(words, PLAIN)
+        spaced = pc.binary_join_element_wise(pa.scalar(""), pc.if_else(plain, words, ""), " ")
+        codes, ends, pieces = words_of(pc.replace_substring_regex(spaced, _CUTS, "\\1\0"), "\0")
+        pieces = pieces.to_pylist()
+        known = self.pieces.ready({piece for piece in pieces if piece.strip(" ")})
+        values = [known[piece] if piece.strip(" ") else b"" for piece in pieces]
+        other = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+        if len(other):  # each was cut into one piece without ids
+            codes[ends[other] - 1] = len(values) + np.arange(len(other))
+            values += self._units([" " + word for word in words.take(pa.array(other)).to_pylist()])
+        flat, stops = gather(*joined(values), codes, ends)
+        return flat, np.diff(stops, prepend=0)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (no nulls) in one row and where each text's end. Each distinct word is cut once a call."""
+        runs = has_runs(texts)
+        codes, ends, words = words_of(pc.if_else(pa.array(runs), "", texts) if runs.any() else texts)
+        flat, sizes = self._later(words)
+        starts = np.concatenate([[0], ends])[:-1]
+        names = words.take(pa.array(codes[starts])).to_pylist()  # the first word of a text follows no space
+        for at in np.flatnonzero(runs).tolist():
+            names[at] = texts[at].as_py()
+        firsts, place = np.unique(np.array(names, object), return_inverse=True) if names else ([], starts)
+        codes[starts] = len(sizes) + place
+        more, counts = joined([b"".join(self._units(units(text)[:1]) + self._units([" " + u for u in units(text)[1:]])) for text in firsts])
+        return gather(np.concatenate([flat, more]), np.concatenate([sizes, counts]), codes, ends)
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The bytes of each text, whose ids end there."""
+        raw = b"".join(self.names[ids].tolist())
+        stops = np.concatenate([[0], np.cumsum(self.lengths[ids])])[np.concatenate([[0], ends])].tolist()
+        return [raw[a:b] for a, b in zip(stops, stops[1:], strict=False)]
 
 
 @lru_cache(maxsize=2)
@@ -136,19 +165,22 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, ids: bool = True)
         own = codec(path, pattern)
         for batch in batches:
             done = 0
-            for texts in by_bytes(batch.column(1).to_pylist()):
-                rows = own.encode(texts)
+            for texts in byte_slices(batch.column(1)):
+                flat, ends = own.encode(texts)
+                counts = np.diff(ends, prepend=0)
+                rows = np.split(flat, ends[:-1])
                 columns = [
-                    batch.column(0).slice(done, len(rows)),
-                    pa.array([len(row) // 4 for row in rows], pa.int64()),
+                    batch.column(0).slice(done, len(texts)),
+                    pa.array(counts, pa.int64()),
                     pa.array([hashlib.sha256(row).hexdigest() for row in rows], pa.string()),
-                    pa.array([hashlib.sha256(own.decode(row)).hexdigest() for row in rows], pa.string()),
+                    pa.array([hashlib.sha256(row).hexdigest() for row in own.decode(flat, ends)], pa.string()),
                 ]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if ids:
-                    columns.append(pa.array([np.frombuffer(row, "<u4").astype("<i4") for row in rows], pa.list_(pa.int32())))
+                    offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+                    columns.append(pa.ListArray.from_arrays(offsets, pa.array(flat.astype("<i4"))))
                     names.append("ids")
-                done += len(rows)
+                done += len(texts)
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids

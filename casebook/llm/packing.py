@@ -31,7 +31,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
         encoder, end = word_encoder(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             names = iter(batch.column(0).to_pylist())
-            for texts in byte_slices(batch.column(1), 12 << 20):
+            for texts in byte_slices(batch.column(1), 8 << 20):
                 found, stops = encoder.encode(texts)
                 rows = []
                 for row in np.split(found, stops[:-1]):

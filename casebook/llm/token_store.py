@@ -124,7 +124,7 @@ class WordEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith("</w>")]] = True
-        self.pieces = Memo(self._pieces, 1_200_000)
+        self.pieces = Memo(self._pieces, 700_000)
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         found = []
@@ -206,7 +206,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 2, block
 
         for batch in batches:
             ids = iter(batch.column(0).to_pylist())
-            for texts in byte_slices(batch.column(1), 12 << 20):
+            for texts in byte_slices(batch.column(1), 8 << 20):
                 found, stops = encoder.encode(texts)
                 for row in np.split(found, stops[:-1]):
                     names.append(next(ids))

@@ -13,6 +13,10 @@ import pyarrow.compute as pc
 _ASCII_RUNS = ("  ", "\n ", "\t ", "\r ", "\v ", "\f ", "\x1c ", "\x1d ", "\x1e ", "\x1f ")
 _OTHER_RUNS = re.compile("[\x85\xa0  -     　] ")
 _AFTER_INK = re.compile(r"(?<=\S) ")
+#: Letters and numerals below U+0250, whose classes are settled in every version of Unicode, and words of nothing else.
+LETTERS = r"a-zA-Z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}"
+NUMERALS = r"0-9\x{b2}\x{b3}\x{b9}\x{bc}-\x{be}"
+PLAIN = r"^[!-~\x{a1}-\x{ac}\x{ae}-\x{24f}]+$"
 
 
 def units(text: str) -> list[str]:
@@ -37,6 +41,14 @@ def by_bytes(texts: Iterable[str | None], most: int = 4 << 20) -> Iterator[list[
         yield batch
 
 
+def has_runs(texts: pa.Array) -> np.ndarray:
+    """Texts that `units` does not simply cut at every space."""
+    found = pc.match_substring_regex(texts, _OTHER_RUNS.pattern)
+    for run in _ASCII_RUNS:
+        found = pc.or_(found, pc.match_substring(texts, run))
+    return found.to_numpy(zero_copy_only=False)
+
+
 def byte_slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[pa.Array]:
     """The same texts in order, cut between rows so that few bytes become Python objects at a time; nulls are empty."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -47,9 +59,9 @@ def byte_slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[pa.Array]:
         at = stop
 
 
-def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Texts without nulls cut at every space: the code of each word, the end of each text, the distinct words."""
-    lists = pc.split_pattern(texts, " ")
+def words_of(texts: pa.Array, mark: str = " ") -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Texts without nulls cut at every mark: the code of each word, the end of each text, the distinct words."""
+    lists = pc.split_pattern(texts, mark)
     found = lists.flatten().dictionary_encode()
     ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
     return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), ends, found.dictionary
