@@ -388,9 +388,12 @@ _ATTRIBUTES = tuple(at.PATTERNS) + ("contact_number",)
     ),
 )
 def attribute_evidence(t):
-    names = F.array(*[F.lit(n) for n in _ATTRIBUTES])
-    held = tx.let(F.lower("chunk_text"), lambda low: F.filter(names, lambda a: at.attribute_in_text(a, low)))
-    return t.document_chunks.select(F.col("id").alias("chunk_id"), F.array_join(held, ",").alias("attributes"))
+    def held(text):
+        return F.concat_ws(",", *[F.when(at.named_attribute(n, text["low"], text["plain"]), n) for n in _ATTRIBUTES])
+
+    low = F.lower("chunk_text")
+    found = tx.let(F.struct(low.alias("low"), at.is_ascii(low).alias("plain")), held)
+    return t.document_chunks.select(F.col("id").alias("chunk_id"), found.alias("attributes"))
 
 
 @query(
