@@ -1,5 +1,6 @@
 """Page texts, languages, quality, and the pipeline."""
 
+import random
 import math
 from collections import Counter
 
@@ -151,3 +152,49 @@ def test_pipeline_stages_hand_documents_on(spark):
     assert out.count() == before == corpus_pipeline.run(spark, SMALL).count()
     texts = docs.select("doc_id", F.sha2(F.encode("text", "utf-8"), 256).alias("text_sha256"))
     assert out.join(texts, "doc_id").where("decoded_sha256 = text_sha256").count() == before
+
+
+def test_deep_and_differing_pages():
+    deep = wrappers.parse("<div>" * 5000 + "deep" + "</div>" * 5000 + "<p>after")
+    assert wrappers.main_text("<div>" * 5000 + "deep" + "</div>" * 5000 + "<p>after", wrappers.fold(deep)) == "deep\nafter"
+
+    def nest(depth, side):
+        return "" if not depth else f"<div class=a>{nest(depth - 1, side)}</div><{side}>x</{side}><div class=a></div>"
+
+    one, two = (wrappers.fold(wrappers.parse(nest(40, side))) for side in ("p", "h2"))
+    assert wrappers.match(one, two) > 80 and wrappers.unite(one, two).pages == 2
+
+
+def _largest(a, b):
+    """Simple tree matching stated by recursion over forests."""
+
+    def forest(x, y):
+        if not x or not y:
+            return 0
+        return max(forest(x[:-1], y), forest(x, y[:-1]), forest(x[:-1], y[:-1]) + _largest(x[-1], y[-1]))
+
+    return 1 + forest(a.children, b.children) if a.label == b.label else 0
+
+
+def test_matching_is_the_largest():
+    rng = random.Random(4)
+
+    def tree(depth):
+        return wrappers.Slot(rng.choice("ab"), 1, 0, 0, 0, [tree(depth - 1) for _ in range(rng.randint(0, 3))] if depth else [])
+
+    for _ in range(200):
+        a, b = tree(3), tree(3)
+        assert wrappers.match(a, b) == _largest(a, b)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='post-header'><h1>kept</h1></div>", "<article><div class=entry-header>kept</div></article>", "<div class='content has-sidebar'>kept</div>",
+        "<div class='post comments-enabled'>kept</div>", "<section id=social-science>kept</section>", "<form><article>kept</article></form>",
+        "<p title='a hidden gem'>kept</p>", "<article data-x='was hidden before'>kept</article>", "<div class=site-header>gone</div>kept", "<p hidden>gone</p>kept",
+        "<div class='cookie-notice'>gone</div>kept", "<div id=adBox>gone</div>kept", "<form>gone</form>kept",
+    ],
+)
+def test_only_names_that_say_a_role_leave_an_element_out(page):
+    assert wrappers.main_text(page, None) == "kept"
