@@ -108,8 +108,10 @@ def _across(counts: list) -> list[tuple[int, int, int, int, int]]:
     return found
 
 
-def _seeds(rest: DataFrame, lengths: dict[int, int], wanted: int) -> tuple[Column, int]:
-    """Which items open a sequence, the `wanted` longest, and the longest length that may be left."""
+def _seeds(rest: DataFrame, lengths: dict[int, int], wanted: int, turn: int) -> tuple[Column, int]:
+    """Which items open a sequence, the `wanted` longest, and the longest length that may be left.
+
+    Each turn draws by another hash: those of one hash that an earlier turn left would be left again."""
     item, left = F.col("item"), wanted
     chosen = F.lit(False)
     for length in sorted(lengths, reverse=True):
@@ -123,7 +125,7 @@ def _seeds(rest: DataFrame, lengths: dict[int, int], wanted: int) -> tuple[Colum
         if left <= NAMED:
             named = [r.item for r in rest.where(mine).orderBy("item").limit(left).collect()]
             return chosen | (mine & item.isin(named)), length
-        return chosen | (mine & (F.pmod(F.xxhash64("item"), F.lit(1 << 30)) < F.lit(int((1 << 30) * left / n)))), length
+        return chosen | (mine & (F.pmod(F.xxhash64("item", F.lit(turn)), F.lit(1 << 30)) < F.lit(int((1 << 30) * left / n)))), length
     return chosen, 0
 
 
@@ -138,13 +140,15 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     half = capacity // 2
     opened = [items.where(F.col("length") > half).select("item", "length", F.col("item").alias("sequence_id"))]
     rest = items.where(F.col("length") <= half).select("item", "length")
+    turn = 0
     gaps = opened[0].where(F.col("length") < capacity).select("sequence_id", (capacity - F.col("length")).alias("gap"))
     while lengths := {r.length: r["count"] for r in rest.groupBy("length").count().collect()}:
         least = min(lengths)
         room = {r.gap: r["count"] for r in gaps.where(F.col("gap") >= least).groupBy("gap").count().collect()}
         stuck = sum(length * n for length, n in lengths.items() if length > max(room, default=0))
         wanted = -(-stuck // capacity)
-        seed, longest = _seeds(rest, lengths, wanted)
+        turn += 1
+        seed, longest = _seeds(rest, lengths, wanted, turn)
         seeds = rest.where(seed)
         if wanted:
             opened.append(seeds.select("item", "length", F.col("item").alias("sequence_id")))
