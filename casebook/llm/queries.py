@@ -128,13 +128,13 @@ SELECT b.doc_id, length(b.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_remove
 FROM bytes b LEFT JOIN kept k USING (doc_id) LEFT JOIN sums USING (doc_id)"""
 
 #: Vectors that both vector operators take, and the exact floor of a sum s of n integers.
-_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, e -> e IS NULL OR NOT isfinite(e))) = 0"
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0"
 _MEAN = "CAST((s - (s % n + n) % n) // n AS BIGINT)"
-_APART = "CAST(list_sum(list_transform(list_zip(v.x, c.x), z -> (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+_APART = "CAST(list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
 
 
 def _integers(factor: int) -> str:
-    return f"list_transform(embedding, e -> CAST(floor({factor} * CAST(e AS DOUBLE)) AS BIGINT))"
+    return f"list_transform(embedding, lambda e: CAST(floor({factor} * CAST(e AS DOUBLE)) AS BIGINT))"
 
 
 def _refined(rounds: int, keys: str, vectors: str) -> str:
