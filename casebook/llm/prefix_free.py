@@ -34,10 +34,18 @@ KNOWN, SPLIT, MANY = 1 << 9, 1 << 8, 255
 HOT, HOTTEST, PARTS = 48, 10_000, 64
 #: Triggers of more distinct phrases have their windows compared by digest.
 DENSE = 20_000
+#: Rows without an id are one document, which stands before all others; each text of it has a key below this one, so
+#: that their phrases meet their own text only.
+NO_ID = -(2**62)
 
 _PHRASES = "key long, hash long, doc long, place long"
 
 
+def _document(key: np.ndarray) -> np.ndarray:
+    """The document a key stands for in the order of the corpus."""
+    return np.maximum(key, NO_ID)
+
+
 def phrases(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, ranges: Ranges) -> tuple[np.ndarray, ...]:
     """Trigger, hash, first window and number of windows of the phrases of texts [start, stop) of a buffer."""
     ranges.load(data)
@@ -98,12 +106,13 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]
         trigger, hashed, first, many = phrases(data, starts, stops, ranges)
         piece = np.searchsorted(stops, first, "right")
         place = first - starts[piece] + offset[piece] << 10 | many
-        order = np.lexsort((place, doc[piece], hashed, trigger))
+        order = np.lexsort((doc[piece], place, _document(doc[piece]), hashed, trigger))
         trigger, hashed, at, place = trigger[order], hashed[order], doc[piece][order], place[order]
+        of = _document(at)
         again = np.zeros(len(order), bool)
         again[1:] = (trigger[1:] == trigger[:-1]) & (hashed[1:] == hashed[:-1])
         lead = np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))
-        again &= (at != at[lead]) | (place != place[lead])
+        again &= (of != of[lead]) | (place != place[lead])
         yield trigger, hashed, at, place, again
 
 
@@ -120,8 +129,9 @@ def _hot_triggers(docs: DataFrame) -> np.ndarray:
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, hash, doc, place): repeats (kind 0), and first occurrences whose trigger has other phrases
-    too (kind 1). A first occurrence waits until the next distinct phrase shows whether it shares its trigger."""
+    """Rows sorted by (key, hash, document, place, doc): repeats (kind 0), and first occurrences whose trigger has other
+    phrases too (kind 1). A first occurrence waits until the next one shows whether it shares its trigger. Texts without
+    an id may have their first occurrence at one place; each keeps its own."""
     names = ["kind", "key", "hash", "doc", "place"]
     waiting = [np.zeros(0, np.int64)] * 4
     shared = np.zeros(0, bool)
@@ -138,16 +148,18 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, hashed, doc, place = key[~known], hashed[~known], doc[~known], place[~known]
         if not len(key):
             continue
-        before = previous or (None,) * 4
+        before = previous or (None,) * 5
         same_key = np.append(before[0] == key[0] if previous else False, key[1:] == key[:-1])
         new = ~same_key | np.append(not previous or before[1] != hashed[0], hashed[1:] != hashed[:-1])
         # a repeated row stands at the very place of the first occurrence: it is that occurrence
         lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-        first_doc = np.where(lead >= 0, doc[lead], before[2] if previous else 0)
+        of = _document(doc)
+        first_of = np.where(lead >= 0, of[lead], before[2] if previous else 0)
         first_place = np.where(lead >= 0, place[lead], before[3] if previous else 0)
-        again = ~new & ((doc != first_doc) | (place != first_place))
+        again = ~new & ((of != first_of) | (place != first_place))
         yield rows(0, [key[again], hashed[again], doc[again], place[again]])
-        previous = (key[-1], hashed[-1], int(first_doc[-1]), int(first_place[-1]))
+        new |= ~again & np.append(not previous or before[4] != doc[0], doc[1:] != doc[:-1])
+        previous = (key[-1], hashed[-1], int(first_of[-1]), int(first_place[-1]), int(doc[-1]))
         firsts = [np.concatenate([w, c[new]]) for w, c in zip(waiting, (key, hashed, doc, place), strict=True)]
         shared = np.concatenate([shared, np.zeros(int(new.sum()), bool)])
         touching = firsts[0][1:] == firsts[0][:-1]
@@ -197,8 +209,8 @@ class _Windows:
         self.doc = np.array(doc, np.int64)[self.phrase]
         self.start = (np.array(place, np.int64) >> 10)[self.phrase] + inner
         rank = equal_windows(self.buffer, self.here)
-        order = np.lexsort((self.start, self.doc, rank))
-        rank, doc_of, start_of = rank[order], self.doc[order], self.start[order]
+        order = np.lexsort((self.start, _document(self.doc), rank))
+        rank, doc_of, start_of = rank[order], _document(self.doc)[order], self.start[order]
         opens = np.flatnonzero(np.diff(rank, prepend=-1))
         first = np.repeat(opens, np.diff(opens, append=len(order)))
         self.again = np.zeros(len(order), bool)
@@ -289,7 +301,9 @@ def repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(hashed.view(np.int64)), pa.array(doc), pa.array(place)], ["key", "hash", "doc", "place"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parsed = docs.mapInArrow(parse, _PHRASES).repartition(parts, "key").sortWithinPartitions("key", "hash", "doc", "place")
+    parsed = docs.mapInArrow(parse, _PHRASES).repartition(parts, "key").sortWithinPartitions(
+        "key", "hash", F.greatest("doc", F.lit(NO_ID)), "place", "doc"
+    )
     settled = stored(parsed.mapInArrow(_settle, "kind int, " + _PHRASES))
     whole = settled.where("kind = 0").select("doc", "place", "hash")
     dictionary = settled.where("kind = 1").drop("kind")
@@ -308,8 +322,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     sorted_out = ordered.mapInArrow(_sort_dictionary, "doc long, place long, hash long")
     digests = stored(found.where("key is null").mapInArrow(_digests, "low long, high long, doc long, place long, hash long"))
     windows = digests.where("low is not null")
-    firsts = windows.groupBy("low", "high").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    digested = windows.join(firsts, ["low", "high"]).where(F.struct("doc", "place") != F.col("first")).unionByName(
+    stands = F.struct(F.greatest("doc", F.lit(NO_ID)).alias("doc"), "place")
+    firsts = windows.groupBy("low", "high").agg(F.min(stands).alias("first"), F.count("*").alias("n")).where("n > 1")
+    digested = windows.join(firsts, ["low", "high"]).where(stands != F.col("first")).unionByName(
         digests.where("low is null"), allowMissingColumns=True
     )
     return whole.unionByName(sorted_out).unionByName(digested.select("doc", "place", "hash"))
@@ -335,8 +350,10 @@ def _removed(raw: bytes, marks: list[dict] | None, ranges: Ranges) -> np.ndarray
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """A key for order and join: rows without an id come before all others, as if of one document."""
-    return docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")))
+    """A key for order and join: rows without an id come before all others, as if of one document; each of their texts
+    has a key of its own, so many such rows are no hot key."""
+    own = F.xxhash64("text").bitwiseAND(2**62 - 1) + F.lit(-(2**63)).cast("long")
+    return docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), own))
 
 
 def _with_marks(docs: DataFrame) -> DataFrame:
@@ -351,7 +368,8 @@ def removal_digests(docs: DataFrame) -> DataFrame:
 
     Null texts are empty; texts under 100 bytes lose nothing. Rows of one doc_id count as one document: they are ordered by
     start alone, and equal bytes at one place of both stand in neither before the other, so a repeated row gets the
-    same answer as the row. Rows without an id come before all others. Other columns are not read."""
+    same answer as the row. Rows without an id come before all others, as one document (ids below -2^62 count as none). Other
+    columns are not read."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges = Ranges()

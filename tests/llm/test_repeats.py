@@ -51,6 +51,27 @@ def test_repeated_strings_match_brute_force(spark, monkeypatch, hot, parts, dens
     assert sorted(map(tuple, got.collect()), key=str) == _want(rows)
 
 
+@pytest.mark.parametrize(("hot", "dense"), [(48, 20_000), (2, 20_000), (48, 1)])
+def test_rows_without_id_are_one_document(spark, monkeypatch, hot, dense):
+    """Texts that share passages at one place, at shifted places, and with rows that have an id."""
+    monkeypatch.setattr(prefix_free, "HOT", hot)
+    monkeypatch.setattr(prefix_free, "DENSE", dense)
+    shared = prose(1, 60)
+    rows = [(None, shared[:150] + prose(500 + k, 12)) for k in range(5)] + [(None, prose(600 + k, 3 + k) + shared[k:260]) for k in range(5)]
+    rows += [(None, prose(700, 9) + shared[40:300])] * 3 + [(k, prose(800 + k, 5) + shared[20 + k :]) for k in range(4)] + [(20, shared), (None, None), (None, "")]
+    rows += [(None, shared[:150] + shared[3:150] + prose(900 + k, 4)) for k in range(3)]
+    got = sorted(map(tuple, prefix_free.removal_digests(documents(spark, rows)).collect()), key=str)
+    assert got == _want(rows)
+
+
+def test_marks_of_rows_without_id_stay_with_their_text(spark):
+    rows = [(None, prose(1, 40) + prose(5000 + k, 6)) for k in range(400)]
+    keyed = prefix_free._keyed(documents(spark, rows))
+    marks = prefix_free.repeats(keyed.select(F.col("__doc").alias("doc"), "text"))
+    assert keyed.select("__doc").distinct().count() == 400
+    assert (marks.groupBy("doc").count().agg(F.max("count")).first()[0] or 0) < 20
+
+
 def test_long_texts_are_cut_without_losing_windows(spark, monkeypatch):
     monkeypatch.setattr(prefix_free, "CHUNK", 500)
     rows = texts()[:40]
