@@ -8,7 +8,7 @@ no occurrence is lost. Nothing is shuffled."""
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from casebook.llm.storage import stored
 
@@ -241,7 +242,15 @@ def _marks(texts: list[list[bytes]], phrases: Phrases | None, before) -> list[di
 
 
 def mark_leaks(
-    docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = 10, block_windows: int = 200_000, shard_bytes: int = 8 << 20
+    docs: DataFrame,
+    benchmark: DataFrame,
+    keep: list[str],
+    window: int = 10,
+    block_windows: int = 200_000,
+    shard_bytes: int = 8 << 20,
+    *,
+    then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None,
+    schema: T.StructType | None = None,
 ) -> DataFrame:
     """The columns `keep` of `docs` and the struct LEAKS: n_words, runs [starts, ends) of word positions inside any
     occurrence of a benchmark phrase, and the ids of the items that occur.
@@ -249,7 +258,8 @@ def mark_leaks(
     A phrase is `window` consecutive item words; an item of fewer words, but not none, is one phrase. Null and empty
     texts have no words; null or wordless items and an empty benchmark hit nothing; an item without id is listed as ''.
     Repeated rows and items give the same marks again. At most `block_windows` phrases and one item more are searched
-    for, and broadcast, at a time; a larger benchmark takes more passes."""
+    for, and broadcast, at a time; a larger benchmark takes more passes. `then` turns each marked batch into one of
+    `schema` in the same Python worker."""
     spark, names = docs.sparkSession, docs.columns
     places, text_at = [names.index(c) for c in keep], names.index("text")
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
@@ -270,10 +280,11 @@ def mark_leaks(
                     shard = batch.slice(done, end - done)
                     before = shard.column(len(names)).to_pylist() if marked else repeat(None)
                     rows = _marks([words(text) for text in texts[done:end]], sent.value, before)
-                    yield pa.RecordBatch.from_arrays([shard.column(i) for i in at] + [pa.array(rows, _KIND)], [names[i] for i in at] + [LEAKS])
+                    found = pa.RecordBatch.from_arrays([shard.column(i) for i in at] + [pa.array(rows, _KIND)], [names[i] for i in at] + [LEAKS])
+                    yield then(found) if last and then else found
                     done = end
 
-        return frame.mapInArrow(search, ", ".join([*(kinds[i] for i in at), f"`{LEAKS}` {_LEAKS}"]))
+        return frame.mapInArrow(search, schema if last and then else ", ".join([*(kinds[i] for i in at), f"`{LEAKS}` {_LEAKS}"]))
 
     frame, pending = docs, None
     for items in _blocks(benchmark, window, block_windows):
@@ -314,20 +325,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
 
     A document that held words and is left with none goes; every other row stays, clean ones as they are."""
     names, at = docs.columns, docs.columns.index("text")
-    marked = mark_leaks(docs, benchmark, names, window)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            leaks = batch.column(len(names)).to_pylist()
-            texts = batch.column(at).to_pylist()
-            whole = [sum(k["ends"]) - sum(k["starts"]) < k["n_words"] or not k["n_words"] for k in leaks]
-            texts = [remove_spans(t, k["starts"], k["ends"]) if k["starts"] else t for t, k in zip(texts, leaks, strict=True)]
-            columns = [batch.column(i) for i in range(len(names))]
-            columns[at] = pa.array(texts, pa.string())
-            if "n_chars" in names:
-                i = names.index("n_chars")
-                old = columns[i].to_pylist()
-                columns[i] = pa.array([len(t) if k["starts"] else o for t, k, o in zip(texts, leaks, old, strict=True)], columns[i].type)
-            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(whole))
-
-    return marked.mapInArrow(cut, docs.schema)
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        leaks = batch.column(len(names)).to_pylist()
+        whole = [sum(k["ends"]) - sum(k["starts"]) < k["n_words"] or not k["n_words"] for k in leaks]
+        texts = [remove_spans(t, k["starts"], k["ends"]) if k["starts"] else t for t, k in zip(batch.column(at).to_pylist(), leaks, strict=True)]
+        columns = [batch.column(i) for i in range(len(names))]
+        columns[at] = pa.array(texts, pa.string())
+        if "n_chars" in names:
+            i = names.index("n_chars")
+            old = columns[i].to_pylist()
+            columns[i] = pa.array([len(t) if k["starts"] else o for t, k, o in zip(texts, leaks, old, strict=True)], columns[i].type)
+        return pa.RecordBatch.from_arrays(columns, names).filter(pa.array(whole, pa.bool_()))
+
+    return mark_leaks(docs, benchmark, names, window, then=cut, schema=docs.schema)
