@@ -25,26 +25,27 @@ def salted_join(
     spread_by: str,
     counts: DataFrame,
     rows_per_salt: int = ROWS_PER_SALT,
+    small_by: Column | None = None,
 ) -> DataFrame:
     """Inner equi-join on ``keys``; keys of many pairs are split into a grid.
 
-    Rows of ``big`` are dealt by a hash of ``spread_by``, rows of ``small`` by one of their ``query_id`` or ``entity``;
+    Rows of ``big`` are dealt by a hash of ``spread_by``, rows of ``small`` by ``small_by`` or one of their ``query_id`` or ``entity``;
     each is repeated for the other's parts. ``counts`` (keys, n) holds the rows of ``big`` per key. Ordinary keys pay
     nothing.
     """
-    dealt_by = next((c for c in ("query_id", "entity") if c in small.columns), None)
+    dealt_by = next((c for c in ("query_id", "entity") if c in small.columns), None) if small_by is None else small_by
     pairs = F.col("n") * F.col("_asked")
     # a key asked for by few is split on the big side alone
-    small_parts = F.ceil(F.col("_asked") / rows_per_salt**0.5) if dealt_by else F.lit(1)
+    small_parts = F.ceil(F.col("_asked") / rows_per_salt**0.5) if dealt_by is not None else F.lit(1)
     grid = counts.join(key_counts(small, keys).withColumnRenamed("n", "_asked"), keys).where(pairs > rows_per_salt).select(
         *keys, pairs.alias("_pairs"), F.ceil(pairs / rows_per_salt / small_parts).cast("int").alias("_rows"),
         small_parts.cast("int").alias("_columns"),
     )
     hot = F.broadcast(grid.orderBy(F.desc("_pairs")).limit(HOTTEST).drop("_pairs"))
 
-    def dealt(rows: DataFrame, own: str, other: str, by: str | None) -> DataFrame:
+    def dealt(rows: DataFrame, own: str, other: str, by: Column | str | None) -> DataFrame:
         parts, repeats = F.coalesce(F.col(own), F.lit(1)), F.coalesce(F.col(other), F.lit(1))
-        place = F.when(parts == 1, 0).otherwise(F.pmod(F.xxhash64(by), parts).cast("int")) if by else F.lit(0)
+        place = F.when(parts == 1, 0).otherwise(F.pmod(F.xxhash64(by), parts).cast("int")) if by is not None else F.lit(0)
         return (
             rows.join(hot, keys, "left")
             .withColumn(f"_at{own}", place)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -214,18 +215,28 @@ def gate(inquiries: DataFrame) -> DataFrame:
 
 
 def answer_inquiries(inquiries: DataFrame, tables, top_k: int | None = None,
-                     rows_per_salt: int = ROWS_PER_SALT) -> InquiryJob:
+                     rows_per_salt: int = ROWS_PER_SALT, embedder: Callable[[list[str]], list[list[float]]] | None = None,
+                     dimension: int = 768) -> InquiryJob:
     """Safety, understanding, retrieval, evidence, answer and citations for a table of inquiries.
 
     ``results`` has one row per inquiry; one that is refused has its reason in ``error`` and no answer.
 
+    With an ``embedder`` the questions that reach documents are embedded in the job; one that can't be has the reason
+    in ``error`` and no answer. Without it inquiries bring their ``query_vec``.
+
     ``tables`` exposes the record, document, extraction and chunk tables. Targets and retrieved
     passages feed several branches, so each is written once.
     """
     gated = materialise(gate(inquiries))
-    routable = gated.where(
-        ~F.col("safety_triggered") & F.col("routing_mode").isin("STRUCTURED_ONLY", "DOCUMENT_ONLY", "CROSS_DOMAIN")
-    )
+    reaches = ~F.col("safety_triggered") & F.col("routing_mode").isin("STRUCTURED_ONLY", "DOCUMENT_ONLY", "CROSS_DOMAIN")
+    routable, failed = gated.where(reaches), None
+    if embedder is not None:
+        asked = materialise(rt.embed_questions(routable, embedder, dimension))
+        routable = asked.where("embedding_error IS NULL").drop("embedding_error")
+        failed = asked.where("embedding_error IS NOT NULL").select(
+            *K, "query_text", "routing_mode", "safety_triggered", "clarification_required",
+            F.concat(F.lit("The question could not be embedded: "), F.col("embedding_error")).alias("error"),
+        )
     passages = materialise(
         rt.retrieve(
             routable, tables.document_chunks, tables.medical_documents, tables.document_extractions, top_k, rows_per_salt
@@ -260,4 +271,6 @@ def answer_inquiries(inquiries: DataFrame, tables, top_k: int | None = None,
     )
     answered = flags.join(spoken.unionByName(short), K).withColumn("error", F.lit(None).cast("string"))
     results = answered.unionByName(refused(inquiries).select(*K, "query_text", "error"), allowMissingColumns=True)
+    if failed is not None:
+        results = results.unionByName(failed, allowMissingColumns=True)
     return InquiryJob(lean, results, evidence, passages, records, details)

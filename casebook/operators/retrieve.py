@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from casebook.functions import lexicons as lx
 from casebook.functions import text as tx
 from casebook.functions.skew import ROWS_PER_SALT, key_counts, salted_join, top_per_key
-from casebook.session import materialise
+from casebook.operators.ingest import embed, embedding_text
+from casebook.operators.lexical import naming_chunks
+from casebook.session import materialise, spread
 
 K = ["query_id", "patient_id"]
 PASSAGE_COLUMNS = (
@@ -80,6 +84,30 @@ def document_questions(targets: DataFrame) -> DataFrame:
     )
 
 
+def embed_questions(
+    targets: DataFrame, embedder: Callable[[list[str]], list[list[float]]], dimension: int, batch: int = lx.EMBEDDING_BATCH
+) -> DataFrame:
+    """Targets with ``query_vec`` and ``embedding_error``.
+
+    Each distinct question that reaches documents is embedded once; others are not and have neither. A blank question,
+    a failing embedder and vectors of a wrong count or dimension leave the vector null and give the reason.
+    """
+    rows = targets.drop("query_vec", "embedding_error").withColumn("_reaches", F.size(document_types(F.col("document_domains"))) > 0)
+    asked = rows.where("_reaches").withColumn("_question", F.coalesce(embedding_text(F.col("query_text")), F.lit("")))
+    none = F.lit(None).cast("long")
+    distinct = spread(asked.select("_question").distinct(), "_question")
+    snapshots = distinct.select(
+        F.col("_question").alias("id"), none.alias("document_id"), none.alias("patient_id"), F.col("_question").alias("snapshot_text")
+    )
+    made = embed(snapshots, embedder, dimension, batch).select(
+        F.col("id").alias("_question"), F.col("vector").alias("query_vec"), F.col("error").alias("embedding_error")
+    )
+    other = rows.where("NOT coalesce(_reaches, false)").withColumns(
+        {"query_vec": F.lit(None).cast("array<float>"), "embedding_error": F.lit(None).cast("string")}
+    )
+    return asked.join(made, "_question").drop("_question").unionByName(other).drop("_reaches")
+
+
 def extremum_dates(asked: DataFrame, documents: DataFrame) -> DataFrame:
     """Latest or first document date per inquiry and its domains, extraction not required."""
     dated = (
@@ -155,47 +183,42 @@ def dense_candidates(
     return best.where(F.col("entity").isNotNull() | (F.col("rank") <= top_k)).drop("entity")
 
 
-def lexical_variants(entity: Column) -> Column:
-    """Wordings that recall an entity: the curated list, else the entity itself."""
-    name = tx.strip(entity)
-    chain = None
-    for key, words in lx.LEXICAL_VARIANTS.items():
-        listed = F.array(*[F.lit(w) for w in words])
-        chain = F.when(F.lower(name) == key, listed) if chain is None else chain.when(F.lower(name) == key, listed)
-    return chain.otherwise(F.array(F.lower(name)))
-
-
-def lexical_match(entity: Column, text: Column) -> Column:
-    """Any variant: a token on word boundaries, a phrase anywhere, ignoring case."""
-    low = F.lower(text)
-    return F.exists(lexical_variants(entity), lambda v: tx.keyword_present(v, low))
-
-
 def lexical_candidates(
     asked: DataFrame, searchable: DataFrame, counts: DataFrame, rows_per_salt: int = ROWS_PER_SALT
 ) -> DataFrame:
     """Chunks naming the entity, newest first (oldest for FIRST), ten per inquiry.
 
-    Texts are matched once per tenant and distinct entity, and cut to ten once per distinct kind of question.
+    Texts are matched once per tenant, and cut to ten once per distinct kind of question. Kinds without date bounds
+    see the ends of each hit list only, kinds with bounds meet whole lists in a grid.
     """
     anchored = asked.where(F.col("entity").isNotNull())
     keyed, kinds = _kinds(anchored, "entity", "types", "superlative", "lo", "hi")
     terms = kinds.select("patient_id", "entity").distinct()
-    hits = (
-        salted_join(searchable.drop("embedding"), terms, ["patient_id"], "chunk_id", counts, rows_per_salt)
-        .where(lexical_match(F.col("entity"), F.col("chunk_text")))
-        .drop("chunk_text")
-    )
+    hits = materialise(naming_chunks(searchable, terms, counts, rows_per_salt))
     date = F.col("document_date")
-    both = F.col("lo").isNotNull() & F.col("hi").isNotNull()
-    plain = F.col("retrievable") & (~both | (date.isNotNull() & date.between(F.col("lo"), F.col("hi"))))
+    days = F.datediff(date, F.lit("1970-01-01").cast("date"))
+    plain_open = F.col("lo").isNull() | F.col("hi").isNull()
+    unbounded = F.when(F.col("superlative").isNull(), plain_open).otherwise(F.col("lo").isNull() & F.col("hi").isNull())
+    named = ["patient_id", "entity"]
+    lists = [*named, "document_type", "retrievable"]
+
+    def end(order: Column) -> DataFrame:
+        ranked = [order.asc_nulls_last(), F.col("document_id"), F.col("chunk_index")]
+        return top_per_key(hits, lists, ranked, lx.LEXICAL_CANDIDATES, "rank").drop("rank")
+
+    first = F.coalesce(F.col("superlative") == "first", F.lit(False))
+    free, bounded = kinds.where(unbounded), kinds.where(~unbounded)
+    met = end(-days).join(free.where(~first), named).unionByName(end(days).join(free.where(first), named))
+    met = met.unionByName(
+        salted_join(hits, bounded, named, "chunk_id", key_counts(hits, named), rows_per_salt, F.xxhash64("kind"))
+    )
+    plain = F.col("retrievable") & (plain_open | (date.isNotNull() & date.between(F.col("lo"), F.col("hi"))))
     extreme = date.isNotNull() & _within_each_bound()
-    pairs = hits.join(kinds, ["patient_id", "entity"]).where(
+    pairs = met.where(
         F.array_contains("types", F.col("document_type"))
         & F.when(F.col("superlative").isNull(), plain).otherwise(extreme)
     )
-    days = F.datediff(date, F.lit("1970-01-01").cast("date"))
-    chronological = F.when(F.col("superlative") == "first", days).otherwise(-days)
+    chronological = F.when(first, days).otherwise(-days)
     order = [chronological.asc_nulls_last(), F.col("document_id"), F.col("chunk_index")]
     best = top_per_key(pairs, ["kind"], order, lx.LEXICAL_CANDIDATES, "rank")
     return best.select("kind", "chunk_id", "document_id", "chunk_index", "document_date", "rank").join(keyed, "kind").select(

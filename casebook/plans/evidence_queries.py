@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from casebook.functions import lexicons as lx
@@ -156,6 +158,25 @@ def lexical_neighbours(t):
     return rt.lexical_candidates(asked, searchable, counts).select("query_id", "chunk_id", "rank")
 
 
+def digest_embedder(texts: list[str]) -> list[list[float]]:
+    """Vectors SQL can state too: the sixteen bytes of the text's digest."""
+    return [[b / 255 for b in hashlib.md5(text.encode("utf-8")).digest()] for text in texts]
+
+
+@query(
+    "question_embeddings",
+    over_views(
+        r"SELECT query_id, md5(trim(regexp_replace(query_text, '\s+', ' ', 'g'))) AS vector_hex, CAST(NULL AS VARCHAR) AS embedding_error"
+        " FROM routed WHERE len(types) > 0",
+        ROUTED_SQL,
+    ),
+)
+def question_embeddings(t):
+    asked = rt.embed_questions(_targets(t), digest_embedder, 16).where("query_vec IS NOT NULL OR embedding_error IS NOT NULL")
+    digits = F.transform("query_vec", lambda v: F.lpad(F.lower(F.hex(F.round(v * 255).cast("long"))), 2, "0"))
+    return asked.select("query_id", F.array_join(digits, "").alias("vector_hex"), "embedding_error")
+
+
 @query(
     "extremum_dates",
     over_views("SELECT query_id, CAST(day AS VARCHAR) AS target_date FROM extremes", ROUTED_SQL, RETRIEVAL_SQL),
