@@ -16,13 +16,16 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder the session names; sessions that name none, as in tests, get their own.
+    """Return the checkpoint folder the session names; local sessions that name none, as in tests, get their own.
 
     The application's part of it is removed when its JVM ends."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if not current:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder all machines share.")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="run-"))
         current = context.getCheckpointDir()
         path = spark._jvm.org.apache.hadoop.fs.Path(current)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
