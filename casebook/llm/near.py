@@ -56,23 +56,24 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, width: int) -> DataFrame:
-    """The columns of `docs` (without text), node (a hash of the shingle set) and the keys of its bands."""
+    """The columns of `docs` (without text), node (a hash of the shingle set), the set's size and the keys of its bands."""
     names = [c for c in docs.columns if c != "text"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for batch in batches:
-            nodes, bands = [], []
+            nodes, sizes, bands = [], [], []
             for sets in _sets(batch, shingler):
                 nodes.append(_nodes(sets).view(np.int64))
+                sizes += [len(s) for s in sets]
                 full = [s for s in sets if len(s)]
                 keys = iter(band_keys(full).view(np.int64).tolist() if full else [])
                 bands += [next(keys) if len(s) else [] for s in sets]
             node = np.concatenate(nodes) if nodes else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(node), pa.array(bands, pa.list_(pa.int64()))], [*names, "node", "bands"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(node), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64()))], [*names, "node", "size", "bands"])
 
     kinds = [f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names]
-    return docs.mapInArrow(sign, ", ".join([*kinds, "node long", "bands array<long>"]))
+    return docs.mapInArrow(sign, ", ".join([*kinds, "node long", "size int", "bands array<long>"]))
 
 
 def _shingled(docs: DataFrame, width: int) -> DataFrame:
@@ -96,15 +97,20 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def _links(buckets: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """hub, node: checked links inside buckets (key, node, row), from each node to nodes of smaller row.
+    """hub, node: checked links inside buckets (key, node, row, size of the set), from each node to nodes of smaller row.
 
     In each round the first nodes left in a bucket are its hubs. All others are compared with them, and hubs with one
     another; who is like an earlier hub leaves, so that of two nodes left at the end each was compared with the other."""
     left, hubs, links = buckets, HUBS, None
     first = Window.partitionBy("key").orderBy("row")
     while not left.isEmpty():
-        chosen = stored(left.withColumn("at", F.row_number().over(first)).where(F.col("at") <= hubs).select("key", F.col("node").alias("hub"), F.col("row").alias("before")))
-        met = left.join(chosen, "key").where("before < row").select("key", "hub", "node")
+        chosen = stored(
+            left.withColumn("at", F.row_number().over(first)).where(F.col("at") <= hubs)
+            .select("key", F.col("node").alias("hub"), F.col("row").alias("before"), F.col("size").alias("other"))
+        )
+        # sets of that similarity have sizes as close: other pairs go before their sets are fetched
+        close = F.least("size", "other") >= least * F.greatest("size", "other")
+        met = left.join(chosen, "key").where((F.col("before") < F.col("row")) & close).select("key", "hub", "node")
         found = stored(_alike(met.select("hub", "node").distinct(), sets, least))
         links = found if links is None else links.unionByName(found)
         gone = met.join(found, ["hub", "node"]).select("key", "node").unionByName(chosen.select("key", F.col("hub").alias("node")))
@@ -122,12 +128,12 @@ def clustered(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     keyed = docs.withColumns({"__key": F.xxhash64("text", "doc_id"), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))})
     rows = stored(_signed(keyed, width))
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("__id").alias("id"), F.col("__key").alias("key"))
-    groups = stored(rows.groupBy("node").agg(F.min(order).alias("row"), F.first("bands").alias("bands")))
-    buckets = groups.select("node", "row", F.explode("bands").alias("key"))
+    groups = stored(rows.groupBy("node").agg(F.min(order).alias("row"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    buckets = groups.select("node", "row", "size", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").count().where("count > 1").select("key")
-    buckets = stored(buckets.join(shared, "key", "left_semi").select("key", "node", "row"))
+    buckets = stored(buckets.join(shared, "key", "left_semi").select("key", "node", "row", "size"))
     wanted = buckets.select(F.col("row.key").alias("__key"), F.col("row.id").alias("__id")).distinct()
     sets = stored(_shingled(keyed.join(wanted, ["__key", "__id"], "left_semi").dropDuplicates(["__key", "__id"]), width))
     roots = stored(components(_links(buckets, sets, least).select(F.col("node").alias("a"), F.col("hub").alias("b"))))
     rooted = groups.select("node").join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
-    return rows.drop("bands", "__key", "__id").join(rooted.select("node", F.coalesce("root", "node").alias("root")), "node")
+    return rows.drop("bands", "size", "__key", "__id").join(rooted.select("node", F.coalesce("root", "node").alias("root")), "node")

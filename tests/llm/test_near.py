@@ -63,3 +63,26 @@ def test_rows_of_bands_cover_08():
         a, b = (near.np.unique(near.np.array(shared + o, near.np.uint64)) for o in own)
         met += bool((near.band_keys([a])[0] == near.band_keys([b])[0]).any())
     assert met >= 295  # similarity 0.8 exactly; 0.998 expected
+
+
+def test_the_stage_also_drops_what_simhash_links(spark):
+    """Two texts of one long refrain have one fingerprint, though their sets of shingles share little."""
+    refrain = "over the hill and " * 200
+    rows = [(i, refrain + prose(60 + i, 40)) for i in range(2)]
+    assert _similarity(*(_set(text) for _, text in rows)) < 0.8
+    assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, documents(spark, rows), "").collect()] == [0]
+
+
+def test_sets_of_too_different_sizes_are_not_fetched(spark, monkeypatch):
+    """Of a bucket only pairs whose sizes allow the similarity reach the join with their sets."""
+    fetched, alike = [], near._alike
+
+    def counted(pairs, sets, least):
+        fetched.extend((r.hub, r.node) for r in pairs.collect())
+        return alike(pairs, sets, least)
+
+    monkeypatch.setattr(near, "_alike", counted)
+    sets = spark.createDataFrame([(n, list(range(size))) for n, size in ((1, 10), (2, 9), (3, 5))], "node long, shingles array<long>")
+    buckets = spark.createDataFrame([(7, n, n, size) for n, size in ((1, 10), (2, 9), (3, 5))], "key long, node long, row long, size int")
+    assert [(r.hub, r.node) for r in near._links(buckets, sets, 0.8).collect()] == [(1, 2)]
+    assert fetched == [(1, 2)]
