@@ -67,7 +67,7 @@ def test_rows_of_bands_cover_08():
 
 def test_the_stage_also_drops_what_simhash_links(spark):
     """Two texts of one long refrain have one fingerprint, though their sets of shingles share little."""
-    refrain = "over the hill and " * 200
+    refrain = "over the hill " * 200  # three shingles: no bit is a tie
     rows = [(i, refrain + prose(60 + i, 40)) for i in range(2)]
     assert _similarity(*(_set(text) for _, text in rows)) < 0.8
     assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, documents(spark, rows), "").collect()] == [0]
