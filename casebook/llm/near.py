@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from casebook.llm.components import components
 from casebook.llm.hashing import mix
 from casebook.llm.sketches import Shingler
-from casebook.llm.storage import stored
+from casebook.llm.storage import discard, stored
 
 #: A pair of similarity s shares one of the bands with probability 1 - (1 - s**ROWS)**BANDS: 0.998 at 0.8.
 BANDS, ROWS = 12, 4
@@ -114,7 +114,10 @@ def _links(buckets: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         found = stored(_alike(met.select("hub", "node").distinct(), sets, least))
         links = found if links is None else links.unionByName(found)
         gone = met.join(found, ["hub", "node"]).select("key", "node").unionByName(chosen.select("key", F.col("hub").alias("node")))
-        left = stored(left.join(gone, ["key", "node"], "left_anti"))
+        before, left = left, stored(left.join(gone, ["key", "node"], "left_anti"))
+        discard(chosen)
+        if before is not buckets:
+            discard(before)
         hubs *= MORE
     return buckets.select(F.col("node").alias("hub"), "node").limit(0) if links is None else links
 
