@@ -2,30 +2,27 @@
 
 from __future__ import annotations
 
-import os
-
 import numpy as np
 from pyspark.sql import functions as F
 
+from casebook.llm import components as module
 from casebook.llm.components import components, stars
-from casebook.llm.storage import shared_folder
-
-
-def _kept(spark) -> set[str]:
-    return {name for name in os.listdir(os.path.dirname(shared_folder(spark).removeprefix("file:"))) if name.startswith("llm-")}
 
 
 def _links(spark, pairs, parts):
     return spark.createDataFrame([(int(a), int(b)) for a, b in pairs], "a long, b long").repartition(parts)
 
 
-def test_long_chain_leaves_one_table(spark):
+def test_long_chain_replaces_its_tables(spark, monkeypatch):
+    written, gone = [], []
+    store, discard = module.stored, module.discard
+    monkeypatch.setattr(module, "stored", lambda df: written.append(store(df)) or written[-1])
+    monkeypatch.setattr(module, "discard", lambda table: gone.append(table) or discard(table))
     chain = [(at, at + 1) if at % 3 else (at + 1, at) for at in range(-200, 200)]
-    before = _kept(spark)
     found = components(_links(spark, chain, 5))
     assert {(r["node"], r["root"]) for r in found.collect()} == {(node, -200) for node in range(-200, 201)}
-    # tables of earlier rounds are gone
-    assert len(_kept(spark) - before) == 1
+    # all but the last are discarded, in the order in which they were written
+    assert len(written) > 1 and all(a is b for a, b in zip(written[:-1], gone, strict=True))
 
 
 def test_random_links_match_brute_force(spark):
