@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casebook.llm.components import components
@@ -20,6 +20,10 @@ BANDS, ROWS = 12, 4
 _FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 #: Hubs of a bucket in the first round, and how many times as many in each later one.
 HUBS, MORE = 1, 4
+#: In buckets of more sets than this after the first round, sets are compared only if their rarest shingles meet.
+CROWD = 32
+#: Bounds that decide what is compared give way by this much, so that rounding drops no pair.
+SLACK = 1e-3
 
 
 def _sets(batch: pa.RecordBatch, shingler: Shingler, most: int = 1 << 20) -> Iterator[list[np.ndarray]]:
@@ -96,29 +100,68 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.where(shared >= least * (F.size("shingles") + F.size("others") - shared)).select("hub", "node")
 
 
+def _rarest(nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """node, at, shingle: of the sets of nodes the shingles (that two of them have) whose place from the rarest on is below
+    1 - least of the set.
+
+    All sets are ordered alike, so sets of that similarity have the first of their common shingles among these."""
+    held = sets.join(nodes, "node", "left_semi").select("node", F.explode("shingles").alias("shingle"))
+    holders = held.groupBy("shingle").agg(F.count("*").alias("holders"))
+    ordered = held.join(holders, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("holders", "shingle"))).alias("all"))
+    some = F.slice("all", 1, F.floor(F.size("all") * (1 - least) + SLACK).cast("int") + 1)
+    placed = ordered.select("node", F.posexplode(some).alias("at", "one"))
+    return placed.where("one.holders > 1").select("node", "at", F.col("one.shingle").alias("shingle"))
+
+
+def _meeting(left: DataFrame, chosen: DataFrame, rarest: DataFrame, least: float) -> DataFrame:
+    """key, hub, node: of the pairs of a bucket those that meet in a shingle from which on enough can be common.
+
+    The first common shingle leaves no more common ones than the rest of either set."""
+    ours = left.join(rarest, "node")
+    theirs = chosen.join(rarest.select(F.col("node").alias("hub"), F.col("at").alias("hub_at"), "shingle"), "hub")
+    rest = F.least(F.col("size") - F.col("at"), F.col("other") - F.col("hub_at"))
+    enough = rest * (1 + least) >= (F.col("size") + F.col("other")) * least - SLACK
+    return ours.join(theirs, ["key", "shingle"]).where((F.col("before") < F.col("row")) & _close(least) & enough).select("key", "hub", "node").distinct()
+
+
+def _close(least: float) -> Column:
+    """Sets of that similarity have sizes as close: other pairs go before their sets are fetched."""
+    return F.least("size", "other") >= least * F.greatest("size", "other")
+
+
 def _links(buckets: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """hub, node: checked links inside buckets (key, node, row, size of the set), from each node to nodes of smaller row.
 
     In each round the first nodes left in a bucket are its hubs. All others are compared with them, and hubs with one
-    another; who is like an earlier hub leaves, so that of two nodes left at the end each was compared with the other."""
-    left, hubs, links = buckets, HUBS, None
+    another; who is like an earlier hub leaves, so that of two nodes left at the end each was compared with the other.
+    Where many are left after the first round, pairs whose rarest shingles show that they aren't alike are left out."""
+    left, hubs, links, crowded, rarest = buckets, HUBS, None, None, None
     first = Window.partitionBy("key").orderBy("row")
     while not left.isEmpty():
+        if links is not None and rarest is None:
+            crowded = stored(left.groupBy("key").count().where(F.col("count") > CROWD).select("key"))
+            rarest = stored(_rarest(left.join(crowded, "key", "left_semi").select("node").distinct(), sets, least))
         chosen = stored(
             left.withColumn("at", F.row_number().over(first)).where(F.col("at") <= hubs)
             .select("key", F.col("node").alias("hub"), F.col("row").alias("before"), F.col("size").alias("other"))
         )
-        # sets of that similarity have sizes as close: other pairs go before their sets are fetched
-        close = F.least("size", "other") >= least * F.greatest("size", "other")
-        met = left.join(chosen, "key").where((F.col("before") < F.col("row")) & close).select("key", "hub", "node")
+        few = left if crowded is None else left.join(crowded, "key", "left_anti")
+        met = few.join(chosen, "key").where((F.col("before") < F.col("row")) & _close(least)).select("key", "hub", "node")
+        if crowded is not None:
+            met = met.unionByName(_meeting(left.join(crowded, "key", "left_semi"), chosen, rarest, least))
+        met = stored(met)
         found = stored(_alike(met.select("hub", "node").distinct(), sets, least))
         links = found if links is None else links.unionByName(found)
         gone = met.join(found, ["hub", "node"]).select("key", "node").unionByName(chosen.select("key", F.col("hub").alias("node")))
         before, left = left, stored(left.join(gone, ["key", "node"], "left_anti"))
         discard(chosen)
+        discard(met)
         if before is not buckets:
             discard(before)
         hubs *= MORE
+    if rarest is not None:
+        discard(crowded)
+        discard(rarest)
     return buckets.select(F.col("node").alias("hub"), "node").limit(0) if links is None else links
 
 

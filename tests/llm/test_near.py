@@ -86,3 +86,38 @@ def test_sets_of_too_different_sizes_are_not_fetched(spark, monkeypatch):
     buckets = spark.createDataFrame([(7, n, n, size) for n, size in ((1, 10), (2, 9), (3, 5))], "key long, node long, row long, size int")
     assert [(r.hub, r.node) for r in near._links(buckets, sets, 0.8).collect()] == [(1, 2)]
     assert fetched == [(1, 2)]
+
+
+def _bucket(spark, contents):
+    """A bucket of sets (node: shingles), least node first."""
+    sets = spark.createDataFrame([(n, sorted(s)) for n, s in contents.items()], "node long, shingles array<long>")
+    return spark.createDataFrame([(7, n, n, len(s)) for n, s in contents.items()], "key long, node long, row long, size int"), sets
+
+
+def test_a_large_group_of_half_alike_sets_is_not_compared_pair_by_pair(spark, monkeypatch):
+    """150 sets with three quarters in common: 11,175 pairs, none of similarity 0.8; the least is compared with all."""
+    fetched, alike = [], near._alike
+
+    def counted(pairs, sets, least):
+        fetched.append(pairs.count())
+        return alike(pairs, sets, least)
+
+    monkeypatch.setattr(near, "_alike", counted)
+    buckets, sets = _bucket(spark, {n: {*range(60), *range(100 * n + 100, 100 * n + 120)} for n in range(150)})
+    assert near._links(buckets, sets, 0.8).count() == 0
+    assert sum(fetched) == 149
+
+
+@pytest.mark.parametrize("least", [0.5, 0.8])
+def test_rarest_shingles_lose_no_link(spark, monkeypatch, least):
+    """Sets of one base at similarities around the bound, of several sizes; links are those of all pairs compared."""
+    rng, contents = random.Random(11), {}
+    for n in range(60):
+        base = range(rng.choice([1, 5, 30, 36, 45]))
+        contents[n] = {x if rng.random() > (n % 6) / 12 else rng.randrange(40, 90) for x in base}
+    found = {}
+    for crowd in (1, 10**6):
+        monkeypatch.setattr(near, "CROWD", crowd)
+        found[crowd] = sorted({(r.hub, r.node) for r in near._links(*_bucket(spark, contents), least).collect()})
+    assert found[1] == found[10**6] and found[1]
+    assert all(_similarity(contents[a], contents[b]) >= least for a, b in found[1])
