@@ -180,6 +180,9 @@ def clustered(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     buckets = stored(buckets.join(shared, "key", "left_semi").select("key", "node", "row", "size"))
     wanted = buckets.select(F.col("row.key").alias("__key"), F.col("row.id").alias("__id")).distinct()
     sets = stored(_shingled(keyed.join(wanted, ["__key", "__id"], "left_semi").dropDuplicates(["__key", "__id"]), width))
-    roots = stored(components(_links(buckets, sets, least).select(F.col("node").alias("a"), F.col("hub").alias("b"))))
+    links = stored(_links(buckets, sets, least).select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    discard(buckets)
+    discard(sets)
+    roots = stored(components(links))
     rooted = groups.select("node").join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
     return rows.drop("bands", "size", "__key", "__id").join(rooted.select("node", F.coalesce("root", "node").alias("root")), "node")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casebook.llm.hashing import Ranges, mix
-from casebook.llm.storage import stored
+from casebook.llm.storage import discard, stored
 
 LENGTH, WIDTH = 100, 24
 #: Bytes parsed at once; a longer text is cut with an overlap that keeps every window whole.
@@ -327,7 +327,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     digested = windows.join(firsts, ["low", "high"]).where(stands != F.col("first")).unionByName(
         digests.where("low is null"), allowMissingColumns=True
     )
-    return whole.unionByName(sorted_out).unionByName(digested.select("doc", "place", "hash"))
+    marks = stored(whole.unionByName(sorted_out).unionByName(digested.select("doc", "place", "hash")))
+    for table in (settled, found, digests):
+        discard(table)
+    return marks
 
 
 def _removed(raw: bytes, marks: list[dict] | None, ranges: Ranges) -> np.ndarray:

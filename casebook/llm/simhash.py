@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casebook.llm.components import components
-from casebook.llm.storage import stored
+from casebook.llm.storage import discard, stored
 
 #: Two segments of 32 bits: fingerprints within 3 bits agree in one of them up to 1 bit.
 SEGMENT, RADIUS, BALL = 32, 3, 1
@@ -86,7 +86,11 @@ def _through_neighbours(rows: DataFrame, others: int) -> DataFrame:
 
 def near_links(prints: DataFrame) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp) that keep every pair within 3 bits connected."""
-    keys = stored(_keys(prints))
+    return _links(stored(_keys(prints)))
+
+
+def _links(keys: DataFrame) -> DataFrame:
+    """a, b: the links that the tables of segments (key, fp, visits) give."""
     tables = keys.where("not visits")
     dense = tables.groupBy("key").count().where(F.col("count") > DENSE).select("key")
     sparse = keys.join(dense, "key", "left_anti")
@@ -108,7 +112,9 @@ def clustered(docs: DataFrame) -> DataFrame:
     fingerprint zero and are linked like any other; repeated rows get the same answer."""
     rows = stored(fingerprints(docs))
     groups = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = stored(components(near_links(groups.select("fp"))))
+    keys = stored(_keys(groups.select("fp")))
+    roots = stored(components(_links(keys)))
+    discard(keys)
     rooted = groups.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return rows.join(rooted.select("fp", "root").join(least, "root"), "fp")
