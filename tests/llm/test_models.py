@@ -198,3 +198,46 @@ def test_matching_is_the_largest():
 )
 def test_only_names_that_say_a_role_leave_an_element_out(page):
     assert wrappers.main_text(page, None) == "kept"
+
+
+def test_templates_keep_the_nodes_of_few_pages(spark):
+    # Every page has an element of its own; all of them together are more than any fixed number of nodes.
+    own = "".join(f"<div class=n{{k}}x{i}><b>w</b></div>" for i in range(400))
+    links = "<div class=links><a href=/1>One {k}</a> <a href=/2>Two</a></div>"
+    pages = [(k, "http://many.example/", f"<body>{own.format(k=k)}{links.format(k=k) if k == 0 else ''}<p>Text {k}</p></body>") for k in range(6)]
+    template = None
+    for _, _, page in pages:
+        slot = wrappers.fold(wrappers.parse(page))
+        template = slot if template is None else wrappers.unite(template, slot)
+    body = template.children[0].children
+    assert len(body) == 6 * 400 + 2 and [c.pages for c in body if c.label == "p"] == [6]
+    got = {r.page_id: r.text for r in wrappers.extract(_pages(spark, pages)).collect()}
+    assert "One" not in got[0] and got[0].endswith("Text 0")  # a list of links on one page of a large template
+
+
+def test_alignment_leaves_out_labels_of_one_side_alone():
+    rng = random.Random(9)
+
+    def whole(left, right):
+        best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+        for i, a in enumerate(left):
+            for j, b in enumerate(right):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + wrappers.match(a, b))
+        pairs, i, j = [], len(left), len(right)
+        while i and j:
+            if best[i][j] == best[i - 1][j]:
+                i -= 1
+            elif best[i][j] == best[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                pairs.append((i, j))
+        return pairs[::-1]
+
+    def tree(depth, labels):
+        return wrappers.Slot(rng.choice(labels), 1, 0, 0, 0, [tree(depth - 1, labels) for _ in range(rng.randint(0, 4))] if depth else [])
+
+    for _ in range(300):
+        left, right = ([tree(2, labels) for _ in range(rng.randint(0, 6))] for labels in ("abcd", "abxy"))
+        if [c.label for c in left] != [c.label for c in right]:
+            assert wrappers.align(left, right) == whole(left, right)
